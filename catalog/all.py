@@ -1,3 +1,4 @@
 """Imports every module that registers queries."""
 
 import catalog.features  # noqa: F401
+import catalog.text  # noqa: F401

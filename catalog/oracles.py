@@ -193,3 +193,60 @@ STEPS["vend_cohort"] = """
 def tidy(name: str, columns: str, places: int = 6, star: str = "*") -> str:
     """Select with the listed double columns rounded, to take out the last-digit noise of summing order."""
     return f"SELECT {star} REPLACE (" + ", ".join(f"{r(c, places)} AS {c}" for c in columns.split()) + f") FROM {name}"
+
+
+def _text_steps(name: str, source: str) -> None:
+    """Steps for TF-IDF and brute-force similarity over a table with work_id, state, constituency, work_description."""
+    from worklens.functions.stopwords import ENGLISH
+
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
+    n = name
+    STEPS[f"{n}_clean"] = f"""
+        SELECT *, trim(regexp_replace(lower(coalesce(work_description, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS cleaned,
+               coalesce(state, 'UNKNOWN_STATE') || '___' || coalesce(constituency, 'UNKNOWN_CONST') AS block
+        FROM {source}"""
+    STEPS[f"{n}_kept"] = f"""
+        SELECT cleaned, list_filter(string_split(cleaned, ' '), lambda x: length(x) >= 2 AND NOT list_contains([{stop}], x)) AS ws
+        FROM (SELECT DISTINCT cleaned FROM {n}_clean)"""
+    STEPS[f"{n}_tf"] = f"""
+        SELECT cleaned, term, count(*) AS tf FROM (
+            SELECT cleaned, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term
+            FROM {n}_kept) GROUP BY ALL"""
+    STEPS[f"{n}_copies"] = f"SELECT cleaned, count(*) AS copies FROM {n}_clean GROUP BY ALL"
+    STEPS[f"{n}_vocab"] = f"""
+        SELECT term, sum(copies)::bigint AS df, sum(tf * copies)::bigint AS cf,
+               ln((1.0::double + (SELECT count(*) FROM {n}_clean)) / (1.0::double + sum(copies))) + 1.0::double AS idf
+        FROM {n}_tf JOIN {n}_copies USING (cleaned) GROUP BY term HAVING sum(copies) >= 2
+        ORDER BY cf DESC, term LIMIT 10000"""
+    STEPS[f"{n}_raw"] = f"SELECT cleaned, term, tf * idf AS raw FROM {n}_tf JOIN {n}_vocab USING (term)"
+    STEPS[f"{n}_w"] = f"""
+        SELECT cleaned, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY cleaned)) AS w FROM {n}_raw"""
+    STEPS[f"{n}_stats"] = f"""
+        SELECT cleaned, sum(w) / (SELECT count(*) FROM {n}_vocab) AS tfidf_mean, max(w) AS tfidf_max FROM {n}_w GROUP BY ALL"""
+    STEPS[f"{n}_member"] = f"SELECT block, cleaned, count(*) AS copies, min(work_id) AS first_id FROM {n}_clean GROUP BY ALL"
+    STEPS[f"{n}_bw"] = f"SELECT block, cleaned, term, w FROM {n}_member JOIN {n}_w USING (cleaned)"
+    STEPS[f"{n}_sim"] = f"""
+        SELECT a.block, a.cleaned AS c1, b.cleaned AS c2, sum(a.w * b.w) AS score
+        FROM {n}_bw a JOIN {n}_bw b ON a.block = b.block AND a.term = b.term AND a.cleaned < b.cleaned GROUP BY ALL"""
+    STEPS[f"{n}_both"] = f"""
+        SELECT block, c1 AS me, c2 AS other, score FROM {n}_sim UNION ALL SELECT block, c2, c1, score FROM {n}_sim"""
+    STEPS[f"{n}_match"] = f"""
+        SELECT m.block, m.cleaned,
+               CASE WHEN any_value(s.cleaned) IS NULL THEN 0.0 WHEN any_value(m.copies) > 1 THEN 1.0
+                    ELSE coalesce(max(b.score), 0.0) END::double AS nearest,
+               (CASE WHEN any_value(s.cleaned) IS NULL THEN 0 ELSE any_value(m.copies) - 1 END
+                + coalesce(sum(o.copies) FILTER (WHERE b.score >= 0.85), 0))::int AS alike
+        FROM {n}_member m LEFT JOIN {n}_stats s ON m.cleaned = s.cleaned
+             LEFT JOIN {n}_both b ON m.block = b.block AND m.cleaned = b.me
+             LEFT JOIN {n}_member o ON b.block = o.block AND b.other = o.cleaned
+        GROUP BY m.block, m.cleaned"""
+    STEPS[f"{n}_feats"] = f"""
+        SELECT work_id, project_status, state, constituency, length(coalesce(work_description, ''))::int AS description_length,
+               len(list_filter(regexp_split_to_array(coalesce(work_description, ''), '\\s+'), lambda x: x <> ''))::int AS word_count,
+               coalesce(tfidf_mean, 0.0::double) AS tfidf_mean, coalesce(tfidf_max, 0.0::double) AS tfidf_max,
+               nearest AS nearest_similarity_score, alike AS similar_project_count
+        FROM {n}_clean LEFT JOIN {n}_stats USING (cleaned) LEFT JOIN {n}_match USING (block, cleaned)"""
+
+
+_text_steps("doc", "texts")
+_text_steps("wk", "works")
