@@ -2,3 +2,4 @@
 
 import catalog.features  # noqa: F401
 import catalog.text  # noqa: F401
+import catalog.risk  # noqa: F401

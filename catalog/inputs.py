@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from catalog.views import view
 from worklens.functions.scalars import rounded
 from worklens.params import Params
-from worklens.plans import clean
-from worklens.sources.staging import settle
+from worklens.plans import batch, clean
+from worklens.plans.master import master_table
+from worklens.sources.staging import settle, settle_once
 
 #: The shared tables cover 1995-2001, so the year parameters point there.
 P = Params(covid_years=(1998, 1999), works_years=(1999, 2000), payment_years=(2000, 2001))
@@ -55,3 +56,32 @@ def settled_sponsors(spark: SparkSession, sf: str) -> DataFrame:
 def tidy(df: DataFrame, columns: str, places: int = 6) -> DataFrame:
     """Round the listed columns, to take out the last-digit noise of summing order."""
     return df.withColumns({c: rounded(F.col(c), places) for c in columns.split()})
+
+
+def given_scores(df: DataFrame) -> DataFrame:
+    """Model columns computed from the amount, so that SQL can compute them too."""
+    part = F.coalesce(F.col("raw_amount"), F.lit(0.0))
+    df = df.withColumn("normalized_anomaly_score", rounded(part / (part + 100000.0), 6))
+    df = df.withColumn("raw_anomaly_score", rounded(0.2 - 0.3 * F.col("normalized_anomaly_score"), 6))
+    below = F.col("raw_anomaly_score") < 0
+    return df.withColumns({"is_anomaly": below.cast("int"), "anomaly_label": F.when(below, -1).otherwise(1)})
+
+
+def analysed_works(spark: SparkSession, sf: str) -> DataFrame:
+    """Works with features, benchmarks and given model scores, settled once per session."""
+
+    def make() -> DataFrame:
+        df, _ = batch.analysed(
+            settled_works(spark, sf), settled_payments(spark, sf), settled_sponsors(spark, sf), P
+        )
+        return given_scores(df)
+
+    return settle_once(spark, ("analysed", sf), make)
+
+
+def scored_works(spark: SparkSession, sf: str) -> DataFrame:
+    return settle_once(spark, ("scored", sf), lambda: batch.scored(analysed_works(spark, sf), P))
+
+
+def master(spark: SparkSession, sf: str) -> DataFrame:
+    return settle_once(spark, ("master", sf), lambda: master_table(scored_works(spark, sf), P))

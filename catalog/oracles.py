@@ -250,3 +250,146 @@ def _text_steps(name: str, source: str) -> None:
 
 _text_steps("doc", "texts")
 _text_steps("wk", "works")
+
+
+STEPS["cohorts"] = """
+    SELECT *, CASE WHEN category IS NOT NULL AND count(*) OVER (PARTITION BY category) >= 10 THEN 'Category: ' || category
+                   WHEN constituency IS NOT NULL AND count(*) OVER (PARTITION BY constituency) >= 10 THEN 'Constituency: ' || constituency
+                   ELSE 'State: ' || coalesce(state, 'nan') END AS baseline_group
+    FROM amounts"""
+
+STEPS["bench"] = f"""
+    SELECT baseline_group, count(*) AS group_rows, {money_avg("effective_amount")} AS group_mean,
+           coalesce(stddev_samp(effective_amount), 0) AS group_std, {quantile("effective_amount", 0.5)} AS group_median,
+           {quantile("effective_amount", 0.75)} AS group_p75, {quantile("effective_amount", 0.9)} AS group_p90,
+           {quantile("effective_amount", 0.95)} AS group_p95, {quantile("effective_amount", 0.99)} AS group_p99
+    FROM cohorts GROUP BY baseline_group"""
+
+STEPS["base0"] = f"""
+    SELECT c.work_id, project_status, state, constituency, category, effective_amount, baseline_group,
+           split_part(baseline_group, ':', 1) AS baseline_type, group_mean, group_std, group_median, group_p75, group_p90,
+           group_p95, group_p99,
+           {r("coalesce((effective_amount - group_mean) / nullif(group_std, 0), 0)", 4)} AS z_score,
+           CASE WHEN group_rows <= 1 THEN 50.0::double ELSE {r(pct_rank("effective_amount", "baseline_group"), 4)} END AS percentile
+    FROM cohorts c JOIN bench USING (baseline_group)"""
+
+STEPS["base"] = """
+    SELECT *, (z_score > 2.5 OR percentile >= 95)::int AS statistical_flag, (z_score > 2.5)::int AS z_flag,
+           (percentile >= 95)::int AS p95_flag, (percentile >= 99)::int AS p99_flag FROM base0"""
+
+FEATURE_LIST = (
+    "effective_amount cost_deviation state_cost_percentile constituency_cost_percentile release_ratio "
+    "recommendation_sanction_ratio is_impossible_date_sequence is_negative_duration is_covid_era year_over_year_change "
+    "description_length word_count tfidf_mean tfidf_max nearest_similarity_score similar_project_count "
+    "constituency_max_vendor_share constituency_avg_vendor_transaction constituency_vendor_count "
+    "constituency_avg_vendor_repeat_rate constituency_pending_payment_ratio"
+).split()
+_CONSTANT = {
+    "recommendation_sanction_ratio": 1, "year_over_year_change": 0, "constituency_vendor_count": 0,
+    "constituency_avg_vendor_repeat_rate": 0, "constituency_pending_payment_ratio": 0,
+}
+ACTIVE_LIST = [f for f in FEATURE_LIST if f not in ("is_negative_duration", "is_covid_era")]
+
+STEPS["mat"] = """
+    SELECT f.work_id, f.project_status, f.state, f.constituency, effective_amount, cost_deviation, state_cost_percentile,
+           constituency_cost_percentile, release_ratio, recommendation_sanction_ratio, is_impossible_date_sequence,
+           is_negative_duration, is_covid_era, year_over_year_change, description_length, word_count, tfidf_mean, tfidf_max,
+           nearest_similarity_score, similar_project_count, constituency_max_vendor_share,
+           constituency_avg_vendor_transaction, constituency_vendor_count, constituency_avg_vendor_repeat_rate,
+           constituency_pending_payment_ratio
+    FROM fin f JOIN tmp t USING (work_id) JOIN wk_feats x USING (work_id)
+         LEFT JOIN vend_cohort v ON v.clean_state = coalesce(upper(trim(f.state)), 'NAN')
+              AND v.clean_const = coalesce(upper(trim(f.constituency)), 'NAN')"""
+
+STEPS["medians"] = "SELECT " + ", ".join(
+    f"{quantile(c, 0.5)} AS {c}" for c in FEATURE_LIST if c not in _CONSTANT
+) + " FROM mat"
+
+STEPS["filled"] = "SELECT m.work_id, m.project_status, m.state, m.constituency, " + ", ".join(
+    f"coalesce(m.{c}, {_CONSTANT[c]})::double AS {c}" if c in _CONSTANT else f"coalesce(m.{c}, d.{c})::double AS {c}"
+    for c in FEATURE_LIST
+) + " FROM mat m, medians d"
+
+
+def clipped(x: str, low: float, high: float) -> str:
+    return f"least(greatest({x}, {low}), {high})"
+
+
+STEPS["parts"] = f"""
+    SELECT w.work_id, w.work_description, w.mp_name, w.recommended_amount, w.final_amount, w.recommendation_date, w.completed_date,
+           w.recommendation_year, b.*  EXCLUDE (work_id), t.completion_delay_days, t.year_over_year_change AS yoy,
+           f.is_impossible_date_sequence, f.is_covid_era, f.cost_deviation, f.constituency_max_vendor_share AS max_share,
+           f.constituency_avg_vendor_transaction, f.constituency_pending_payment_ratio AS pending,
+           x.nearest_similarity_score AS near, x.similar_project_count AS alike,
+           s.allocated_amount, s.total_expenditure, s.utilization_pct, s.completed_works_count AS done,
+           s.recommended_works_count AS every, s.completion_rate_pct AS rate,
+           {r("coalesce(b.effective_amount, 0) / (coalesce(b.effective_amount, 0) + 100000)")} AS sev,
+           {clipped(f"0.6::double * {clipped('percentile', 0, 100)} + 0.4::double * {clipped(clipped('z_score', 0, 10) + ' * 10', 0, 100)}", 0, 100)} AS financial_score,
+           CASE WHEN f.is_impossible_date_sequence = 1 THEN 100.0
+                ELSE {clipped(clipped("coalesce(t.year_over_year_change, 0)", 0, 1000) + " / 10", 0, 100)} END::double AS temporal_score,
+           {clipped(f"0.5::double * ({clipped('f.constituency_max_vendor_share', 0, 1)} * 100) + 0.3::double * {clipped(clipped('f.constituency_pending_payment_ratio', 0, 1) + ' * 200', 0, 100)} + 0.2::double * ({clipped('f.constituency_avg_vendor_repeat_rate', 0, 1)} * 100)", 0, 100)} AS vendor_score,
+           {clipped(clipped("x.nearest_similarity_score", 0, 1) + " * 100", 0, 100)} AS nlp_similarity_score,
+           {clipped("100 - coalesce(s.completion_rate_pct, 50)", 0, 100)} AS mp_works_risk_score
+    FROM works w JOIN base b USING (work_id) JOIN tmp t USING (work_id) JOIN filled f USING (work_id) JOIN wk_feats x USING (work_id)
+         LEFT JOIN sponsors s ON w.mp_name = s.mp_name AND w.constituency = s.constituency"""
+
+STEPS["model"] = f"""
+    SELECT *, {r("0.2::double - 0.3::double * sev")} AS raw_anomaly_score,
+           ({r("0.2::double - 0.3::double * sev")} < 0)::int AS is_anomaly,
+           {clipped(clipped("sev", 0, 1) + " * 100", 0, 100)} AS isolation_forest_score FROM parts"""
+
+STEPS["scores0"] = f"""
+    SELECT *, {r("coalesce(0.30::double * financial_score + 0.20::double * temporal_score + 0.25::double * isolation_forest_score + 0.15::double * vendor_score + 0.10::double * mp_works_risk_score, 0)", 2)} AS final_risk_score FROM model"""
+
+STEPS["scores1"] = """
+    SELECT *, CASE WHEN final_risk_score <= 39.99 THEN 'LOW' WHEN final_risk_score <= 49.99 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_category,
+           concat_ws(chr(10),
+             CASE WHEN z_score > 2.5 OR percentile >= 95 OR financial_score >= 65 THEN
+               '• Financial Benchmark Deviation: Expenditure of ₹' || format('{:,.2f}', effective_amount) || ' is unusually high compared with '
+               || baseline_group || ' benchmark mean of ₹' || format('{:,.2f}', group_mean) || ' (Z-Score: +' || printf('%.2f', z_score)
+               || ', Cohort Percentile: ' || printf('%.1f', percentile) || '%).'
+             WHEN effective_amount > group_p99 THEN '• Upper-Tail Expenditure: Project cost ₹' || format('{:,.2f}', effective_amount)
+               || ' exceeds the 99th percentile cohort ceiling of ₹' || format('{:,.2f}', group_p99) || '.' END,
+             CASE WHEN is_impossible_date_sequence = 1 THEN
+               '• Invalid Date Chronology: Completion date precedes recommendation date (impossible negative duration sequence).'
+             WHEN temporal_score >= 60 OR yoy >= 200 THEN '• Constituency Project Volume Spike: Annual recommendation volume grew by +'
+               || printf('%.1f', yoy) || '% YoY, indicating an unusual concentration of project approvals.' END,
+             CASE WHEN max_share >= 0.40 OR vendor_score >= 60 THEN '• Vendor Expenditure Concentration: Single vendor commands '
+               || printf('%.1f', max_share * 100) || '% of total constituency expenditure, exceeding normal competitive distribution thresholds.'
+             WHEN pending >= 0.15 THEN '• Pending Payment Ratio: Constituency exhibits ' || printf('%.1f', pending * 100)
+               || '% pending transaction ratio across active vendors.' END,
+             CASE WHEN rate < 50 THEN '• Low Constituency Works Completion Rate: MP exhibits a low completion rate of ' || printf('%.1f', rate)
+               || '% (' || done::bigint || ' completed out of ' || every::bigint
+               || ' recommended works), signaling elevated execution backlog risk.' END,
+             CASE WHEN is_anomaly = 1 OR isolation_forest_score >= 55 THEN '• Isolation Forest Machine Learning Pattern: Multi-dimensional feature isolation detected across combined financial, temporal, and vendor space (Model Severity: '
+               || printf('%.1f', isolation_forest_score) || '/100).' END,
+             CASE WHEN near >= 0.85 THEN '• Text Similarity Candidate: Work description matches ' || alike
+               || ' other project(s) in constituency with high text similarity (' || printf('%.1f', near * 100) || '% cosine match score).' END
+           ) AS bullets FROM scores0"""
+
+STEPS["scores"] = """
+    SELECT *, CASE WHEN bullets = '' THEN 'Standard baseline record (Final Risk Score: ' || printf('%.2f', final_risk_score)
+                        || '/100): Project execution within expected cohort parameters.'
+              ELSE CASE risk_category WHEN 'HIGH' THEN 'High priority for verification' WHEN 'MEDIUM' THEN 'Priority for verification'
+                        ELSE 'Standard baseline record' END
+                   || ' (Final Risk Score: ' || printf('%.2f', final_risk_score) || '/100):' || chr(10) || bullets END AS explanation
+    FROM scores1"""
+
+STEPS["master"] = f"""
+    SELECT work_id, coalesce(mp_name, 'Unspecified MP') AS mp_name, project_status, state, constituency,
+           coalesce(category, 'Normal/Others') AS category, coalesce(work_description, 'No description provided') AS work_description,
+           coalesce(recommended_amount, 0) AS recommended_amount, coalesce(final_amount, 0) AS sanctioned_amount,
+           coalesce(effective_amount, 0) AS effective_amount, coalesce(allocated_amount, 0) AS mp_allocated_amount,
+           coalesce(total_expenditure, 0) AS mp_total_expenditure, coalesce(utilization_pct, 0) AS mp_utilization_pct,
+           coalesce(done, 0)::bigint AS mp_completed_works, coalesce(every, 0)::bigint AS mp_recommended_works,
+           coalesce(rate, 0) AS mp_completion_rate_pct, coalesce(recommendation_date, 'N/A') AS recommendation_date,
+           'N/A' AS sanction_date, coalesce(completed_date, 'N/A') AS completion_date,
+           coalesce(completion_delay_days, 0)::int AS duration_days, coalesce(recommendation_year, 2022)::int AS recommendation_year,
+           is_impossible_date_sequence::int AS is_impossible_date_sequence, max_share AS constituency_max_vendor_share,
+           pending AS constituency_pending_payment_ratio, {r("isolation_forest_score", 2)} AS isolation_forest_score, baseline_group,
+           {r("group_mean", 2)} AS group_mean, {r("group_median", 2)} AS group_median, {r("group_p99", 2)} AS group_p99,
+           {r("z_score", 2)} AS cost_z_score, {r("percentile", 1)} AS percentile, statistical_flag AS statistical_flags,
+           {r("near", 4)} AS nearest_similarity_score, alike AS similar_project_count, {r("financial_score", 2)} AS financial_score,
+           {r("temporal_score", 2)} AS temporal_score, {r("vendor_score", 2)} AS vendor_score, final_risk_score, risk_category,
+           explanation, 'Not Reviewed' AS verification_status
+    FROM scores"""
