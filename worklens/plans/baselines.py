@@ -9,7 +9,7 @@ from worklens.functions.ranks import group_quantiles, percentile_ranks
 from worklens.functions.scalars import exact_avg, flag, rounded
 from worklens.operators.cohorts import by_group
 from worklens.params import Params
-from worklens.sources.staging import attach
+from worklens.sources.staging import attach, settle
 
 BASELINE_COLUMNS = [
     "work_id", "project_status", "state", "constituency", "category", "effective_amount", "baseline_group",
@@ -55,9 +55,10 @@ def cohort_benchmarks(grouped: DataFrame) -> DataFrame:
 
 def with_baseline(works: DataFrame, p: Params = Params()) -> DataFrame:
     """Works (with ``effective_amount``) plus cohort, benchmarks, z-score, percentile and flags."""
-    grouped = with_cohort(works, p)
+    df = with_cohort(works, p)
+    grouped = settle(df.select("baseline_group", "effective_amount"), "cohort-amounts")
     ranks = percentile_ranks(grouped, ["baseline_group"], "effective_amount", "_rank")
-    df = attach(grouped, cohort_benchmarks(grouped), ["baseline_group"], "benchmarks")
+    df = attach(df, cohort_benchmarks(grouped), ["baseline_group"], "benchmarks")
     df = df.join(ranks, ["baseline_group", "effective_amount"], "left")
     z = F.try_divide(F.col("effective_amount") - F.col("group_mean"), F.nullif(F.col("group_std"), F.lit(0.0)))
     df = df.withColumns(

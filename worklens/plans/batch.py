@@ -20,7 +20,7 @@ def analysed(works: DataFrame, payments: DataFrame, sponsors: DataFrame, p: Para
 
     ``raw_amount`` keeps the amount as recorded; ``effective_amount`` becomes the model's filled input.
     """
-    df = baselines.with_baseline(matrix.with_all_features(works, payments, sponsors, p), p)
+    df = baselines.with_baseline(matrix.settled_features(works, payments, sponsors, p), p)
     df = settle(df.withColumn("raw_amount", F.col("effective_amount")), "analysed")
     filled, fill = matrix.impute_features(df)
     return risk.with_sponsor_metrics(filled, sponsors), fill

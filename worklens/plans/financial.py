@@ -10,7 +10,7 @@ from worklens.functions.scalars import exact_avg, ratio
 from worklens.operators.cohorts import by_group, spread, z_score
 from worklens.params import Params
 from worklens.plans.clean import per_sponsor
-from worklens.sources.staging import attach
+from worklens.sources.staging import attach, settle
 
 FINANCIAL_COLUMNS = [
     "work_id", "project_status", "state", "constituency", "category", "effective_amount", "recommended_amount",
@@ -31,15 +31,45 @@ def with_release_ratio(works: DataFrame, sponsors: DataFrame) -> DataFrame:
     return attach(works, lookup, ["mp_name", "constituency"], "release")
 
 
-def with_financial(works: DataFrame, sponsors: DataFrame, p: Params = Params()) -> DataFrame:
-    """All cost features as added columns; one statistics pass per grouping column."""
+def cost_ranks(source: DataFrame, p: Params = Params()) -> DataFrame:
+    """The three cost percentiles per distinct (category, state, constituency, amount).
+
+    Ranking works on this slim table, so the wide rows are shuffled once, for the join back.
+    """
+    places = ["category", "state", "constituency", "effective_amount"]
+    slim = source.select(*places).where(F.col("effective_amount").isNotNull()).distinct()
+    for key, out in (
+        ("category", "cost_percentile"),
+        ("state", "state_cost_percentile"),
+        ("constituency", "constituency_cost_percentile"),
+    ):
+        ranks = percentile_ranks(source, [key], "effective_amount", out, p.min_group)
+        slim = slim.join(ranks, [key, "effective_amount"], "left")
+    return slim
+
+
+def with_cost_ranks(df: DataFrame, source: DataFrame, p: Params = Params()) -> DataFrame:
+    ranks = settle(cost_ranks(source, p), "cost-ranks")
+    same = None
+    for name in ("category", "state", "constituency", "effective_amount"):
+        ranks = ranks.withColumnRenamed(name, f"_{name}")
+        match = F.col(name).eqNullSafe(F.col(f"_{name}"))
+        same = match if same is None else same & match
+    return df.join(ranks, same, "left").drop("_category", "_state", "_constituency", "_effective_amount")
+
+
+def with_financial(works: DataFrame, sponsors: DataFrame, p: Params = Params(), source: DataFrame | None = None) -> DataFrame:
+    """All cost features as added columns; one statistics pass per grouping column.
+
+    Group statistics are taken from ``source``, the plain works, so that no earlier join is repeated for them.
+    """
     df = with_effective_amount(works).withColumns(
         {
             "expenditure_ratio": ratio(F.col("final_amount"), F.col("recommended_amount")),
             "unspent_balance": F.col("recommended_amount") - F.col("final_amount"),
         }
     )
-    base = df
+    base = with_effective_amount(works if source is None else source)
     by_state = by_group(
         base, "state", *spread("effective_amount", "cost"), exact_avg(F.col("recommended_amount")).alias("_rec_mean")
     )
@@ -52,13 +82,7 @@ def with_financial(works: DataFrame, sponsors: DataFrame, p: Params = Params())
             "cost_deviation": z_score("effective_amount", "cost", p),
         }
     )
-    for key, out in (
-        ("category", "cost_percentile"),
-        ("state", "state_cost_percentile"),
-        ("constituency", "constituency_cost_percentile"),
-    ):
-        ranks = percentile_ranks(base, [key], "effective_amount", out, p.min_group)
-        df = df.join(ranks, [key, "effective_amount"], "left")
+    df = with_cost_ranks(df.drop("_cost_n", "_cost_mean", "_cost_std", "_rec_mean", "_exp_n", "_exp_mean", "_exp_std"), base, p)
     return with_release_ratio(df, sponsors)
 
 

@@ -85,8 +85,8 @@ def active_features() -> list[str]:
 def with_all_features(works: DataFrame, payments: DataFrame, sponsors: DataFrame, p: Params = Params()) -> DataFrame:
     """Works with every feature family as added columns: no glue by row position, no row key needed."""
     df = with_financial(works, sponsors, p)
-    df = with_temporal(df, payments, p)
-    df = with_text(df, p)
+    df = with_temporal(df, payments, p, source=works)
+    df = with_text(df, p, source=works)
     return with_vendor_cohort(df, vendor_features(payments, p))
 
 

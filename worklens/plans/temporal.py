@@ -51,10 +51,11 @@ def usual_payment_year(payments: DataFrame) -> DataFrame:
     return rows.groupBy(*keys).agg(F.median("expenditure_year").alias("expenditure_year"))
 
 
-def with_temporal(works: DataFrame, payments: DataFrame, p: Params = Params()) -> DataFrame:
+def with_calendar(works: DataFrame, p: Params = Params()) -> DataFrame:
+    """The features that need no other row."""
     rec, comp = F.to_date("recommendation_date"), F.to_date("completed_date")
     delay = F.datediff(comp, rec)
-    df = works.withColumns(
+    return works.withColumns(
         {
             "recommendation_year": F.year(rec),
             "recommendation_month": F.month(rec),
@@ -69,15 +70,20 @@ def with_temporal(works: DataFrame, payments: DataFrame, p: Params = Params()) -
             "is_covid_era": in_years(F.coalesce(F.year(rec), F.year(comp)), p.covid_years).cast("int"),
         }
     )
+
+
+def with_temporal(works: DataFrame, payments: DataFrame, p: Params = Params(), source: DataFrame | None = None) -> DataFrame:
+    df = with_calendar(works, p)
+    base = with_calendar(works if source is None else source, p)
     valid = F.when(F.col("completion_delay_days") >= 0, F.col("completion_delay_days"))
     by_state = by_group(
-        df,
+        base,
         "state",
         F.count("work_id").alias("_works"),
         F.try_divide(F.sum(valid).cast("double"), F.count(valid).cast("double")).alias("_delay_mean"),
         F.stddev_samp(valid).alias("_delay_std"),
     )
-    change = year_change(df, ["state"], "recommendation_year", p.works_years, "year_over_year_change")
+    change = year_change(base, ["state"], "recommendation_year", p.works_years, "year_over_year_change")
     df = attach(df, by_state.join(change, "state", "left"), ["state"], "state-delay")
     fits = (F.col("_works") >= p.min_group) & (F.col("_delay_std") > p.flat_std)
     df = df.withColumn(

@@ -101,8 +101,8 @@ def similar_pair_totals(corpus: Corpus, groups: DataFrame) -> DataFrame:
     return across.unionByName(inside).groupBy("block").agg(F.sum("pairs").alias("pairs"))
 
 
-def with_text(works: DataFrame, p: Params = Params(), corpus: Corpus | None = None) -> DataFrame:
-    corpus = corpus or build_corpus(works, p)
+def with_text(works: DataFrame, p: Params = Params(), corpus: Corpus | None = None, source: DataFrame | None = None) -> DataFrame:
+    corpus = corpus or build_corpus(works if source is None else source, p)
     per_block = settle(
         nearest_in_block(corpus, p).join(
             similar_counts(corpus, similar_groups(corpus, p)), ["block", "signature"], "left"
