@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from worklens.functions.scalars import rounded
 from worklens.operators.vectors import text_key
 from worklens.sources.staging import settle
 
@@ -27,7 +28,7 @@ def postings(vectors: DataFrame, keys: list[str]) -> DataFrame:
 
 def _top(df: DataFrame, group: list[str], score: str, tie: str, k: int) -> DataFrame:
     """First k per group. The filter on the row number lets Spark cut each task's rows before the shuffle."""
-    order = Window.partitionBy(*group).orderBy(F.desc(score), tie)
+    order = Window.partitionBy(*group).orderBy(F.desc(rounded(F.col(score), 9)), tie)
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -149,14 +150,26 @@ def pairs_above(members: DataFrame, vectors: DataFrame, block: str, threshold: f
     candidates = settle(
         one.join(two, [block, "t"]).where(F.col("s1") < F.col("s2")).select(block, "s1", "s2").distinct(), "candidates"
     )
-    rows = postings(vectors, ["signature"])
-    scored = (
-        candidates.select("s1", "s2")
-        .distinct()
-        .join(rows.select(F.col("signature").alias("s1"), "t", F.col("w").alias("w1")), "s1")
-        .join(rows.select(F.col("signature").alias("s2"), "t", F.col("w").alias("w2")), ["s2", "t"])
+    scored = _cosines(candidates.select("s1", "s2").distinct(), vectors, vectors, threshold)
+    return candidates.join(scored, ["s1", "s2"])
+
+
+def _cosines(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Exact cosine of the given (s1, s2), kept where it reaches the threshold."""
+    one = postings(left, ["signature"]).select(F.col("signature").alias("s1"), "t", F.col("w").alias("w1"))
+    two = postings(right, ["signature"]).select(F.col("signature").alias("s2"), "t", F.col("w").alias("w2"))
+    return (
+        pairs.join(one, "s1")
+        .join(two, ["s2", "t"])
         .groupBy("s1", "s2")
         .agg(F.sum(F.col("w1") * F.col("w2")).alias("score"))
         .where(F.col("score") >= threshold)
     )
-    return candidates.join(scored, ["s1", "s2"])
+
+
+def matches_above(asked: DataFrame, base: DataFrame, threshold: float) -> DataFrame:
+    """(s1, s2, score): asked and base vectors (signature, terms, norm) with cosine >= threshold."""
+    one = leading_terms(asked, "signature", threshold).withColumnRenamed("signature", "s1")
+    two = leading_terms(base, "signature", threshold).withColumnRenamed("signature", "s2")
+    candidates = settle(one.join(two, "t").select("s1", "s2").distinct(), "candidates")
+    return _cosines(candidates, asked, base, threshold)

@@ -26,7 +26,7 @@ class Corpus:
     vocabulary: Vocabulary
     weighed: DataFrame  # text_key, terms, norm, tfidf_mean, tfidf_max, signature
     vectors: DataFrame  # signature, terms, norm
-    members: DataFrame  # block, signature, copies
+    members: DataFrame  # block, signature, copies, first_id
 
 
 def keyed(works: DataFrame) -> DataFrame:
@@ -44,11 +44,13 @@ def build_corpus(works: DataFrame, p: Params = Params()) -> Corpus:
     vocabulary = fit_vocabulary(texts, p)
     weighed = settle(weigh(texts, vocabulary), "weighed")
     vectors = settle(signatures(weighed), "vectors")
-    places = keyed(works).groupBy("block", "text_key").agg(F.count(F.lit(1)).alias("copies"))
+    places = keyed(works).groupBy("block", "text_key").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("work_id").alias("first_id")
+    )
     members = (
         places.join(weighed.select("text_key", "signature"), "text_key")
         .groupBy("block", "signature")
-        .agg(F.sum("copies").alias("copies"))
+        .agg(F.sum("copies").alias("copies"), F.min("first_id").alias("first_id"))
     )
     return Corpus(vocabulary, weighed, vectors, settle(members, "members"))
 
@@ -186,6 +188,12 @@ def match_texts(asked: DataFrame, key: str, text: str, corpus: Corpus, k: int, p
         weighed.select("text_key", "signature", "tfidf_mean", "tfidf_max"), "text_key", "left"
     )
     probe = signatures(weighed).withColumnRenamed("signature", "q").withColumn("block", F.lit(0))
-    base = corpus.vectors.withColumnRenamed("signature", "d").withColumn("block", F.lit(0))
+    first = corpus.members.groupBy("signature").agg(F.min("first_id").alias("first_id"))
+    # Equal scores go to the text with the lowest work id.
+    base = corpus.vectors.join(first, "signature").select(
+        F.lit(0).alias("block"), F.struct("first_id", "signature").alias("d"), "terms", "norm"
+    )
     best = best_matches(probe, base, "block", k, p.hot_postings, exclude_self=False)
-    return of.drop("text_key"), best.select(F.col("q").alias("signature"), F.col("d").alias("match"), "score", "rank")
+    return of.drop("text_key"), best.select(
+        F.col("q").alias("signature"), F.col("d.signature").alias("match"), "score", "rank"
+    )
