@@ -4,3 +4,4 @@ import catalog.features  # noqa: F401
 import catalog.text  # noqa: F401
 import catalog.risk  # noqa: F401
 import catalog.areas  # noqa: F401
+import catalog.quality  # noqa: F401
