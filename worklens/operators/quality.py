@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,18 +139,18 @@ def flat_features(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 
 def correlated_pairs(df: DataFrame, columns: Iterable[str], at_least: float = 0.85) -> DataFrame:
-    """Feature pairs with |Pearson r| at or above the limit; all pairs in one aggregate."""
+    """Feature pairs with |Pearson r| at or above the limit, from one distributed pass over the matrix."""
     columns = list(columns)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     cast = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    one = cast.agg(*[F.corr(a, b).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(
-        *[
-            F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"_r{i}").alias("r"))
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    return one.select(F.inline(rows)).where(F.abs("r") >= at_least)
+    vectors = VectorAssembler(inputCols=columns, outputCol="x", handleInvalid="skip").transform(cast).select("x")
+    r = Correlation.corr(vectors, "x").first()[0].toArray()  # one small matrix
+    rows = [
+        (a, b, float(r[i, j]))
+        for i, a in enumerate(columns)
+        for j, b in enumerate(columns)
+        if i < j and abs(r[i, j]) >= at_least
+    ]
+    return df.sparkSession.createDataFrame(rows, "feature_1 string, feature_2 string, r double")
 
 
 def preflight(df: DataFrame, columns: Iterable[str]) -> DataFrame:
