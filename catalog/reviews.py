@@ -94,11 +94,16 @@ def ordered_log_table(spark, sf):
 
 # Screening.
 
+_PREPARED: dict[tuple, screening.History] = {}
+
 
 def _history(spark, sf) -> screening.History:
     """Past works with their settled corpus; no model, so that SQL can follow the whole formula."""
-    works = settled_works(spark, sf)
-    return screening.prepare_history(master(spark, sf), text.build_corpus(works, P))
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _PREPARED:
+        works = settled_works(spark, sf)
+        _PREPARED[key] = screening.prepare_history(master(spark, sf), text.build_corpus(works, P))
+    return _PREPARED[key]
 
 
 def _proposals(spark, sf):

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worklens.functions.ranks import group_quantiles
-from worklens.functions.scalars import exact_avg, exact_sum, place_key, ratio
+from worklens.functions.scalars import place_key, ratio
 from worklens.params import Params
-from worklens.plans.temporal import year_change
-from worklens.sources.staging import attach
+from worklens.plans.temporal import percent_change
+from worklens.sources.staging import attach, settle
 
 SUCCESS = "Payment Success"
 VENDOR_COLUMNS = [
@@ -20,17 +20,46 @@ VENDOR_COLUMNS = [
 ]
 
 
+def _paid() -> Column:
+    return F.coalesce(F.col("payment_status") == SUCCESS, F.lit(False))
+
+
+def spend_parts(payments: DataFrame, p: Params = Params()) -> DataFrame:
+    """One scan of the payments: everything that adds up, per (vendor, constituency, sponsor).
+
+    Totals, shares and year sums are built from this much smaller table.
+    """
+    amount = F.col("expenditure_amount").cast("decimal(18,2)")
+    early, late = p.payment_years
+    year = F.col("expenditure_year")
+    return payments.groupBy("vendor", "constituency", "mp_name").agg(
+        F.count("expenditure_amount").alias("n"),
+        F.sum(amount).alias("amount"),
+        F.count_if(~_paid()).alias("pending"),
+        F.count_if(_paid()).alias("success"),
+        F.sum(F.when(year == early, amount)).alias("early"),
+        F.sum(F.when(year == late, amount)).alias("late"),
+        F.count_if(year == early).alias("early_rows"),
+        F.count_if(year == late).alias("late_rows"),
+        _first(FIRST_COLUMNS).alias("first"),
+    )
+
+
 def vendor_totals(payments: DataFrame) -> DataFrame:
-    paid = F.coalesce(F.col("payment_status") == SUCCESS, F.lit(False))
+    return totals_of(spend_parts(payments))
+
+
+def totals_of(parts: DataFrame) -> DataFrame:
+    total = F.sum("amount").cast("double")
     return (
-        payments.where(F.col("vendor").isNotNull())
+        parts.where(F.col("vendor").isNotNull())
         .groupBy("vendor")
         .agg(
-            F.count("expenditure_amount").alias("transaction_count"),
-            exact_sum(F.col("expenditure_amount")).alias("total_vendor_expenditure"),
-            exact_avg(F.col("expenditure_amount")).alias("average_vendor_transaction"),
-            F.count_if(~paid).alias("pending_count"),
-            F.count_if(paid).alias("success_count"),
+            F.sum("n").alias("transaction_count"),
+            total.alias("total_vendor_expenditure"),
+            F.try_divide(total, F.sum("n").cast("double")).alias("average_vendor_transaction"),
+            F.sum("pending").alias("pending_count"),
+            F.sum("success").alias("success_count"),
         )
     )
 
@@ -46,13 +75,12 @@ def with_vendor_ratios(totals: DataFrame) -> DataFrame:
     )
 
 
-def largest_share(payments: DataFrame, of: str, out: str) -> DataFrame:
+def largest_share(payments: DataFrame, of: str, out: str, amount: str = "expenditure_amount") -> DataFrame:
     """Per vendor, its largest share of any ``of`` value's spend. Both sums start from (vendor, of) totals."""
-    amount = F.sum(F.col("expenditure_amount").cast("decimal(18,2)"))
-    parts = (
-        payments.where(F.col("vendor").isNotNull() & F.col(of).isNotNull()).groupBy("vendor", of).agg(amount.alias("_part"))
-    )
-    whole = payments.where(F.col(of).isNotNull()).groupBy(of).agg(amount.alias("_whole"))
+    spent = F.sum(F.col(amount).cast("decimal(28,2)"))
+    known = payments.where(F.col(of).isNotNull())
+    parts = known.where(F.col("vendor").isNotNull()).groupBy("vendor", of).agg(spent.alias("_part"))
+    whole = known.groupBy(of).agg(spent.alias("_whole"))
     return parts.join(whole, of).groupBy("vendor").agg(F.max(ratio(F.col("_part"), F.col("_whole"))).alias(out))
 
 
@@ -62,32 +90,43 @@ def active_months(payments: DataFrame) -> DataFrame:
     return rows.groupBy("vendor").agg(F.count("_month").alias("active_months_count"))
 
 
+FIRST_COLUMNS = ["state", "constituency", "mp_name", "ida"]
+
+
+def _first(extra: list[str]) -> Column:
+    return F.min(
+        F.struct("expenditure_date_iso", "expenditure_amount", *extra, "work_description", "payment_status")
+    )
+
+
 def first_seen(payments: DataFrame, extra: list[str]) -> DataFrame:
     """First record per vendor by date, amount and the remaining columns: a minimum, so it combines map-side."""
-    order = ["expenditure_date_iso", "expenditure_amount", *extra, "work_description", "payment_status"]
-    first = F.min(F.struct(*order)).alias("_first")
-    return (
-        payments.where(F.col("vendor").isNotNull())
-        .groupBy("vendor")
-        .agg(first)
-        .select("vendor", *[F.col(f"_first.{c}").alias(c) for c in extra])
-    )
+    first = payments.where(F.col("vendor").isNotNull()).groupBy("vendor").agg(_first(extra).alias("_first"))
+    return first.select("vendor", *[F.col(f"_first.{c}").alias(c) for c in extra])
+
+
+def _change_of(parts: DataFrame, out: str) -> DataFrame:
+    zero = F.lit(0).cast("decimal(38,2)")
+    early = F.coalesce(F.sum("early"), zero).cast("double")
+    late = F.coalesce(F.sum("late"), zero).cast("double")
+    both = parts.agg((F.sum("early_rows") > 0) & (F.sum("late_rows") > 0)).scalar()
+    sums = parts.groupBy("vendor").agg(early.alias("_early"), late.alias("_late"))
+    return sums.select("vendor", F.when(both, percent_change(F.col("_early"), F.col("_late"))).alias(out))
 
 
 def vendor_features(payments: DataFrame, p: Params = Params()) -> DataFrame:
     vendors = payments.where(F.col("vendor").isNotNull())
-    median = group_quantiles(vendors, ["vendor"], "expenditure_amount", {"median_vendor_transaction": 0.5})
-    change = year_change(
-        vendors, ["vendor"], "expenditure_year", p.payment_years, "year_over_year_vendor_change", F.col("expenditure_amount")
-    )
-    df = with_vendor_ratios(vendor_totals(payments))
+    parts = settle(spend_parts(payments, p), "spend-parts")
+    named = parts.where(F.col("vendor").isNotNull())
+    firsts = named.groupBy("vendor").agg(F.min("first").alias("first"))
+    df = with_vendor_ratios(totals_of(parts))
     for part in (
-        median,
-        largest_share(payments, "constituency", "vendor_share_of_constituency_expenditure"),
-        largest_share(payments, "mp_name", "vendor_share_of_MP_expenditure"),
+        group_quantiles(vendors, ["vendor"], "expenditure_amount", {"median_vendor_transaction": 0.5}),
+        largest_share(parts, "constituency", "vendor_share_of_constituency_expenditure", "amount"),
+        largest_share(parts, "mp_name", "vendor_share_of_MP_expenditure", "amount"),
         active_months(payments),
-        change,
-        first_seen(payments, ["state", "constituency", "mp_name", "ida"]),
+        _change_of(named, "year_over_year_vendor_change"),
+        firsts.select("vendor", *[F.col(f"first.{c}").alias(c) for c in FIRST_COLUMNS]),
     ):
         df = df.join(part, "vendor", "left")
     frequency = ratio(F.col("transaction_count"), F.col("active_months_count"))
@@ -125,8 +164,9 @@ def with_vendor_cohort(works: DataFrame, vendors: DataFrame) -> DataFrame:
     )
 
 
-def vendor_concentration(payments: DataFrame) -> DataFrame:
-    """Vendors with their totals, ratios and largest shares."""
-    df = with_vendor_ratios(vendor_totals(payments))
-    df = df.join(largest_share(payments, "constituency", "max_constituency_share"), "vendor", "left")
-    return df.join(largest_share(payments, "mp_name", "max_sponsor_share"), "vendor", "left")
+def vendor_concentration(payments: DataFrame, p: Params = Params()) -> DataFrame:
+    """Vendors with their totals, ratios and largest shares, from one scan of the payments."""
+    parts = settle(spend_parts(payments, p), "spend-parts")
+    df = with_vendor_ratios(totals_of(parts))
+    df = df.join(largest_share(parts, "constituency", "max_constituency_share", "amount"), "vendor", "left")
+    return df.join(largest_share(parts, "mp_name", "max_sponsor_share", "amount"), "vendor", "left")
