@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.inputs import P, master, tidy
-from catalog.oracles import money_avg, money_sum, oracle, r, tidy as sql_tidy
-from catalog.oracles import STEPS
+from catalog.inputs import P, master, scored_works, settled_works
+from catalog.oracles import STEPS, money_avg, money_sum, oracle, r
 from catalog.registry import query
 from worklens.functions.scalars import headline
 from worklens.operators import explorer, quality
@@ -252,3 +251,27 @@ def map_regions_with_scores(spark, sf):
     found = io.regions_with_scores(io.read_regions(spark, path), areas.state_rollup(master(spark, sf), P), names)
     back = F.when(F.col("region") == "Region One", "NATION_1").otherwise(F.col("region"))
     return found.select(back.alias("state"), "region", "total_works", "area_risk_score")
+
+
+@query(oracle("""
+    SELECT work_id, s.sev AS normalized_anomaly_score, m.final_risk_score, m.risk_category, w.category
+    FROM scores s JOIN master m USING (work_id) LEFT JOIN works w USING (work_id)"""))
+def results_joined_to_scores(spark, sf):
+    scores = scored_works(spark, sf).select("work_id", "normalized_anomaly_score")
+    risk = master(spark, sf).select("work_id", "final_risk_score", "risk_category")
+    kinds = settled_works(spark, sf).select("work_id", "category")
+    return scores.join(risk, "work_id").join(kinds, "work_id", "left")
+
+
+@query(oracle("SELECT work_id, risk_category, 'scored' AS part FROM master WHERE risk_category = 'HIGH' UNION ALL SELECT work_id, risk_category, 'rest' FROM master WHERE risk_category <> 'HIGH'"))
+def union_of_result_parts(spark, sf):
+    rows = master(spark, sf).select("risk_category", "work_id")
+    high = rows.where("risk_category = 'HIGH'").withColumn("part", F.lit("scored"))
+    rest = rows.where("risk_category <> 'HIGH'").withColumn("part", F.lit("rest")).select("part", "work_id", "risk_category")
+    return high.unionByName(rest)
+
+
+@query(oracle("SELECT work_id, mp_name, state, final_risk_score FROM master"))
+def available_columns_only(spark, sf):
+    wanted = ["work_id", "mp_name", "no_such_column", "state", "final_risk_score"]
+    return explorer.existing(master(spark, sf).drop("no_such_column"), wanted)

@@ -10,7 +10,7 @@ from worklens.functions.scalars import rounded
 from worklens.params import Params
 from worklens.plans import batch, clean
 from worklens.plans.master import master_table
-from worklens.sources.staging import settle, settle_once
+from worklens.sources.staging import settle_once
 
 #: The shared tables cover 1995-2001, so the year parameters point there.
 P = Params(covid_years=(1998, 1999), works_years=(1999, 2000), payment_years=(2000, 2001))
@@ -42,15 +42,15 @@ def sponsors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def settled_works(spark: SparkSession, sf: str) -> DataFrame:
-    return settle(works(spark, sf), "works")
+    return settle_once(spark, ("works", sf), lambda: works(spark, sf))
 
 
 def settled_payments(spark: SparkSession, sf: str) -> DataFrame:
-    return settle(payments(spark, sf), "payments")
+    return settle_once(spark, ("payments", sf), lambda: payments(spark, sf))
 
 
 def settled_sponsors(spark: SparkSession, sf: str) -> DataFrame:
-    return settle(sponsors(spark, sf), "sponsors")
+    return settle_once(spark, ("sponsors", sf), lambda: sponsors(spark, sf))
 
 
 def tidy(df: DataFrame, columns: str, places: int = 6) -> DataFrame:

@@ -36,13 +36,18 @@ def distinct_texts(df: DataFrame, text: str) -> DataFrame:
     cleaned = clean_text(F.col(text))
     return (
         df.select(cleaned.alias("cleaned"))
-        .groupBy(text_key(F.col("cleaned")).alias("text_key"))
-        .agg(F.any_value("cleaned").alias("cleaned"), F.count(F.lit(1)).alias("copies"))
+        .groupBy(text_key(F.col("cleaned")).alias("text_key"), "cleaned")
+        .agg(F.count(F.lit(1)).alias("copies"))
     )
 
 
+def by_text(texts: DataFrame) -> DataFrame:
+    """Texts spread by their key, so that counting and weighing their terms needs no further shuffle."""
+    return texts.repartition("text_key")
+
+
 def term_counts(texts: DataFrame, stop_words: Sequence[str] = ENGLISH) -> DataFrame:
-    """(text, term, tf, copies). Texts are already spread by ``text_key``, so this adds no shuffle."""
+    """(text, term, tf, copies). Adds no shuffle to texts spread by ``by_text``."""
     return (
         texts.select("text_key", "copies", F.explode(terms_of(F.col("cleaned"), stop_words)).alias("term"))
         .groupBy("text_key", "copies", "term")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from worklens.functions.scalars import block_key, char_count, clean_text, rounded, word_count
 from worklens.operators.similarity import best_matches, pairs_above
-from worklens.operators.vectors import Vocabulary, distinct_texts, fit_vocabulary, signatures, text_key, weigh
+from worklens.operators.vectors import Vocabulary, by_text, distinct_texts, fit_vocabulary, signatures, text_key, weigh
 from worklens.params import Params
 from worklens.sources.staging import settle
 
@@ -39,8 +39,7 @@ def keyed(works: DataFrame) -> DataFrame:
 
 
 def build_corpus(works: DataFrame, p: Params = Params()) -> Corpus:
-    texts = settle(distinct_texts(works, "work_description"), "texts")
-    texts = texts.repartition("text_key")
+    texts = by_text(settle(distinct_texts(works, "work_description"), "texts"))
     vocabulary = fit_vocabulary(texts, p)
     weighed = settle(weigh(texts, vocabulary), "weighed")
     vectors = settle(signatures(weighed), "vectors")
@@ -182,7 +181,7 @@ def match_texts(asked: DataFrame, key: str, text: str, corpus: Corpus, k: int, p
     Returns (``key``, signature, tfidf_mean, tfidf_max) of the asked rows and, per asked signature, its k
     best corpus signatures. Asked texts are collapsed to distinct ones first.
     """
-    texts = distinct_texts(asked, text)
+    texts = by_text(distinct_texts(asked, text))
     weighed = settle(weigh(texts, corpus.vocabulary), "asked-weighed")
     of = asked.select(key, text_key(clean_text(F.col(text))).alias("text_key")).join(
         weighed.select("text_key", "signature", "tfidf_mean", "tfidf_max"), "text_key", "left"

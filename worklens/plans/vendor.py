@@ -41,7 +41,6 @@ def spend_parts(payments: DataFrame, p: Params = Params()) -> DataFrame:
         F.sum(F.when(year == late, amount)).alias("late"),
         F.count_if(year == early).alias("early_rows"),
         F.count_if(year == late).alias("late_rows"),
-        _first(FIRST_COLUMNS).alias("first"),
     )
 
 
@@ -93,15 +92,16 @@ def active_months(payments: DataFrame) -> DataFrame:
 FIRST_COLUMNS = ["state", "constituency", "mp_name", "ida"]
 
 
-def _first(extra: list[str]) -> Column:
-    return F.min(
-        F.struct("expenditure_date_iso", "expenditure_amount", *extra, "work_description", "payment_status")
-    )
-
+def first_seen(payments: DataFrame, extra: list[str] = FIRST_COLUMNS) -> DataFrame:
+    """First record per vendor by date, amount and the remaining columns.
 
-def first_seen(payments: DataFrame, extra: list[str]) -> DataFrame:
-    """First record per vendor by date, amount and the remaining columns: a minimum, so it combines map-side."""
-    first = payments.where(F.col("vendor").isNotNull()).groupBy("vendor").agg(_first(extra).alias("_first"))
+    The first day comes from a hash aggregate over a plain date; whole records are compared on that day only.
+    """
+    day = F.coalesce(F.to_date("expenditure_date_iso"), F.to_date(F.lit("0001-01-01")))
+    rows = payments.where(F.col("vendor").isNotNull()).withColumn("_day", day)
+    days = rows.groupBy("vendor").agg(F.min("_day").alias("_day"))
+    order = F.struct("expenditure_amount", *extra, "work_description", "payment_status")
+    first = rows.join(settle(days, "first-days"), ["vendor", "_day"]).groupBy("vendor").agg(F.min(order).alias("_first"))
     return first.select("vendor", *[F.col(f"_first.{c}").alias(c) for c in extra])
 
 
@@ -118,7 +118,6 @@ def vendor_features(payments: DataFrame, p: Params = Params()) -> DataFrame:
     vendors = payments.where(F.col("vendor").isNotNull())
     parts = settle(spend_parts(payments, p), "spend-parts")
     named = parts.where(F.col("vendor").isNotNull())
-    firsts = named.groupBy("vendor").agg(F.min("first").alias("first"))
     df = with_vendor_ratios(totals_of(parts))
     for part in (
         group_quantiles(vendors, ["vendor"], "expenditure_amount", {"median_vendor_transaction": 0.5}),
@@ -126,7 +125,7 @@ def vendor_features(payments: DataFrame, p: Params = Params()) -> DataFrame:
         largest_share(parts, "mp_name", "vendor_share_of_MP_expenditure", "amount"),
         active_months(payments),
         _change_of(named, "year_over_year_vendor_change"),
-        firsts.select("vendor", *[F.col(f"first.{c}").alias(c) for c in FIRST_COLUMNS]),
+        first_seen(payments),
     ):
         df = df.join(part, "vendor", "left")
     frequency = ratio(F.col("transaction_count"), F.col("active_months_count"))
