@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worklens.functions.scalars import rounded
@@ -53,22 +53,20 @@ def split_valid(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 def with_log_ids(entries: DataFrame, already: int, order: list[str]) -> DataFrame:
     """``AUDIT_000001``-style ids that go on after the ``already`` logged entries, in time order.
 
-    Positions come from counts per day and an order inside each day, not from one global window.
+    Positions come from counts per minute and an order inside each minute, not from one global window.
     """
-    from pyspark.sql import Window
-
-    day = F.to_date(order[0])
-    dated = entries.withColumn("_day", day)
-    per_day = dated.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy(F.asc_nulls_first("_day")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = per_day.withColumn("_before", F.sum("_n").over(upto) - F.col("_n")).drop("_n")  # one row per day
-    offsets = offsets.withColumnRenamed("_day", "_d")
-    inside = Window.partitionBy("_day").orderBy(*order)
+    dated = entries.withColumn("_minute", F.date_trunc("minute", order[0]))
+    per_minute = dated.groupBy("_minute").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.orderBy(F.asc_nulls_first("_minute")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = per_minute.select(  # one row per minute of the log
+        F.col("_minute").alias("_m"), (F.sum("_n").over(upto) - F.col("_n")).alias("_before")
+    )
+    inside = Window.partitionBy("_minute").orderBy(*order)
     placed = dated.withColumn("_k", F.row_number().over(inside)).join(
-        offsets, F.col("_day").eqNullSafe(F.col("_d"))
+        offsets, F.col("_minute").eqNullSafe(F.col("_m"))
     )
     number = F.lit(already) + F.col("_before") + F.col("_k")
-    return placed.withColumn("log_id", F.format_string("AUDIT_%06d", number)).drop("_day", "_d", "_before", "_k")
+    return placed.withColumn("log_id", F.format_string("AUDIT_%06d", number)).drop("_minute", "_m", "_before", "_k")
 
 
 def append_reviews(entries: DataFrame, log: str, rejected: str) -> None:

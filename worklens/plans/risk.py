@@ -88,6 +88,7 @@ def evidence(p: Params = Params()) -> Column:
 
     Wording states deviations only and asserts no wrongdoing.
     """
+    # The sentences and limits below.
     c = F.col
 
     def text(*parts: Column | str) -> Column:
