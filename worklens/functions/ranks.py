@@ -50,7 +50,8 @@ def _usable(df: DataFrame, keys: list[str], value: Column, bucket: Bucket) -> Da
     rows = df.select(*keys, value.cast("double").alias("_v"))
     for name in [*keys, "_v"]:
         rows = rows.where(F.col(name).isNotNull())
-    return rows.withColumn("_b", bucket(F.col("_v")))
+    # Stated here so that both uses of the counts have the same filter and share one exchange.
+    return rows.withColumn("_b", bucket(F.col("_v"))).where(F.col("_b").isNotNull())
 
 
 def value_positions(df: DataFrame, keys: list[str], value: str, bucket: Bucket = MONEY) -> DataFrame:
