@@ -8,17 +8,16 @@ with one digest stay apart.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worklens.llm.common import ascii_lower, fresh, whole_text
-from worklens.sources.staging import settle
 
 #: Salts of one text. They fit a long as a bit set.
 SALTS = 63
 
 
-def _salt() -> F.Column:
+def _salt() -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
 
 
@@ -36,34 +35,28 @@ def combine(winners: DataFrame) -> DataFrame:
     )
 
 
-def _join_back(rows: DataFrame, digest: str, salt: str, keep_id: str, group_size: str) -> DataFrame:
-    """Rows with the surviving id and the size of their text's group, under the given names.
+def text_groups(docs: DataFrame) -> DataFrame:
+    """One row per text and salt in use: digest, second, salt, keep_id, group_size.
 
-    ``rows`` has doc_id and text, and the digest and salt of the text under the given names.
+    Rows find their group by digest and a second hash, so that the text needn't travel once more; should two texts ever share
+    both, the query ends with an error instead of a wrong group.
     """
-    base = rows.select("doc_id", ascii_lower(whole_text()).alias("text"), F.col(digest).alias("digest"), F.col(salt).alias("salt"))
-    per_text = combine(salt_winners(base))
-    # Without the text: how many texts share the digest. One, unless SHA-256 collides.
-    groups = settle(
-        per_text.groupBy("digest").agg(
-            F.count(F.lit(1)).alias("variants"),
-            F.max("keep_id").alias("keep_id"),
-            F.sum("group_size").alias("group_size"),
-            F.bit_or("salts").alias("salts"),
-        ),
-        "text-groups",
+    low = ascii_lower(whole_text())
+    per_text = combine(salt_winners(docs.select("doc_id", low.alias("text"), F.sha2(low, 256).alias("digest"), _salt().alias("salt"))))
+    groups = per_text.groupBy("digest", F.xxhash64("text").alias("second")).agg(
+        F.count(F.lit(1)).alias("texts"),
+        F.max("keep_id").alias("keep_id"),
+        F.sum("group_size").alias("group_size"),
+        F.bit_or("salts").alias("salts"),
     )
-    key, key_salt, key_text = fresh(rows, "group_digest", "group_salt", "group_text")
-    result = [F.col("keep_id").alias(keep_id), F.col("group_size").alias(group_size)]
-    each_salt = F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> getbit(salts, s) = 1)")).alias(key_salt)
-    keyed = groups.where("variants = 1").select(F.col("digest").alias(key), each_salt, *result)
-    out = rows.join(keyed, [F.col(digest) == F.col(key), F.col(salt) == F.col(key_salt)]).drop(key, key_salt)
-    clashing = groups.where("variants > 1").select("digest")
-    if not clashing.isEmpty():
-        again = per_text.join(clashing, "digest").select(F.col("digest").alias(key), F.col("text").alias(key_text), *result)
-        same = [F.col(digest) == F.col(key), ascii_lower(whole_text()) == F.col(key_text)]
-        out = out.unionByName(rows.join(again, same).drop(key, key_text))
-    return out
+    size = F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share both digests")).cast("long"))
+    each_salt = F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> getbit(salts, s) = 1)"))
+    return groups.select("digest", "second", each_salt.alias("salt"), "keep_id", size.alias("group_size"))
+
+
+def _keys(digest: str, second: str, salt: str) -> dict[str, Column]:
+    low = ascii_lower(whole_text())
+    return {digest: F.sha2(low, 256), second: F.xxhash64(low), salt: _salt()}
 
 
 def assignments(docs: DataFrame) -> DataFrame:
@@ -74,18 +67,18 @@ def assignments(docs: DataFrame) -> DataFrame:
     repeated (same id, equal text), one of the repetitions is kept, the one whose text as written hashes lowest. Other
     columns are ignored. An empty table gives no rows.
     """
-    rows = docs.select("doc_id", "text").withColumns({"digest": F.sha2(ascii_lower(whole_text()), 256), "salt": _salt(), "written": F.xxhash64("text")})
-    out = _join_back(rows, "digest", "salt", "keep_id", "group_size").drop("text")
-    first = F.row_number().over(Window.partitionBy("digest", "salt", "doc_id").orderBy("written")) == 1
+    rows = docs.select("doc_id", F.xxhash64("text").alias("written"), *[c.alias(n) for n, c in _keys("digest", "second", "salt").items()])
+    out = rows.join(text_groups(docs), ["digest", "second", "salt"])
+    first = F.row_number().over(Window.partitionBy("digest", "second", "salt", "doc_id").orderBy("written")) == 1
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & first
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents that ``assignments`` keeps, with all their columns."""
-    digest, salt, keep_id, size, rank = fresh(docs, "text_digest", "text_salt", "text_keep", "text_copies", "text_rank")
-    rows = docs.withColumns({digest: F.sha2(ascii_lower(whole_text()), 256), salt: _salt()})
-    kept = _join_back(rows, digest, salt, keep_id, size).where(F.col("doc_id").eqNullSafe(F.col(keep_id)))
-    order = Window.partitionBy(digest, salt, "doc_id").orderBy(F.xxhash64("text"))
+    digest, second, salt, keep_id, rank = fresh(docs, "text_digest", "text_second", "text_salt", "text_keep", "text_rank")
+    groups = text_groups(docs).select(F.col("digest").alias(digest), F.col("second").alias(second), F.col("salt").alias(salt), F.col("keep_id").alias(keep_id))
+    kept = docs.withColumns(_keys(digest, second, salt)).join(groups, [digest, second, salt]).where(F.col("doc_id").eqNullSafe(F.col(keep_id)))
+    order = Window.partitionBy(digest, second, salt, "doc_id").orderBy(F.xxhash64("text"))
     kept = kept.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
