@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worklens.llm import chat, decontam, exact_dedup, packing, simhash, toxicity
+from worklens.llm import chat, decontam, exact_dedup, langid, packing, simhash, toxicity, warc
 from worklens.llm.common import table
 
 
@@ -40,7 +40,15 @@ def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_formatting, op3_packing, op4_exact_dedup, op6_toxicity, op7_decontamination)}
+def op8_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf, "pages"))
+
+
+def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.identify(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_formatting, op3_packing, op4_exact_dedup, op6_toxicity, op7_decontamination, op8_warc, op9_language_id)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
@@ -57,6 +65,15 @@ ORACLES = {
                coalesce(length(any_value(loss)), 0) AS loss_chars, sha256(coalesce(any_value(loss), '')) AS loss_sha256,
                CAST(sum(shown) AS BIGINT) AS formatted_chars, 0::BIGINT AS rewriting_turns
         FROM s LEFT JOIN l USING (conv_id) GROUP BY conv_id""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        h AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   (((('0x' || substr(h, (i // 4) * 5 + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM h""",
     "op4_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER} AS low FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
