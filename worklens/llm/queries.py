@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worklens.llm import chat, decontam, exact_dedup, langid, packing, simhash, toxicity, warc
+from worklens.llm import chat, decontam, exact_dedup, langid, packing, pii, simhash, toxicity, warc
 from worklens.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.assignments(table(spark, sf, "documents"))
 
 
+def op5_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -48,7 +52,7 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_formatting, op3_packing, op4_exact_dedup, op6_toxicity, op7_decontamination, op8_warc, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_formatting, op3_packing, op4_exact_dedup, op5_personal_data, op6_toxicity, op7_decontamination, op8_warc, op9_language_id)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
