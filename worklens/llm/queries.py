@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from worklens.llm import chat, decontam, exact_dedup, langid, packing, pii, simhash, toxicity, warc
+from worklens.llm import chat, decontam, exact_dedup, langid, line_dedup, packing, pii, simhash, toxicity, warc
 from worklens.llm.common import table
 
 
@@ -52,7 +53,12 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_formatting, op3_packing, op4_exact_dedup, op5_personal_data, op6_toxicity, op7_decontamination, op8_warc, op9_language_id)}
+def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = line_dedup.deduplicate_lines(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_formatting, op3_packing, op4_exact_dedup, op5_personal_data, op6_toxicity, op7_decontamination, op8_warc, op9_language_id, op10_line_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
@@ -69,6 +75,25 @@ ORACLES = {
                coalesce(length(any_value(loss)), 0) AS loss_chars, sha256(coalesce(any_value(loss), '')) AS loss_sha256,
                CAST(sum(shown) AS BIGINT) AS formatted_chars, 0::BIGINT AS rewriting_turns
         FROM s LEFT JOIN l USING (conv_id) GROUP BY conv_id""",
+    "op10_line_dedup": rf"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                          unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+        w AS (SELECT doc_id, pos, line, list_sort(list_distinct(list_filter(regexp_split_to_array(
+                  {_LOWER.replace("text", "line")}, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS words FROM l),
+        sets AS (SELECT words, min((doc_id, pos)) AS first, len(words) AS n, row_number() OVER () AS s FROM w WHERE len(words) > 0 GROUP BY words),
+        t AS (SELECT s, n, unnest(words) AS word FROM sets),
+        df AS (SELECT word, count(*) AS c FROM t GROUP BY word HAVING count(*) > 1),
+        tt AS (SELECT s, n, word FROM t JOIN df USING (word)),
+        common AS (SELECT a.s AS x, b.s AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS inter
+                   FROM tt a JOIN tt b ON a.word = b.word AND a.s < b.s AND 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n) GROUP BY 1, 2),
+        near AS (SELECT x, y FROM common WHERE 10 * inter >= 8 * (n + m - inter)),
+        gone AS (SELECT DISTINCT CASE WHEN sx.first < sy.first THEN y ELSE x END AS s
+                 FROM near JOIN sets sx ON sx.s = x JOIN sets sy ON sy.s = y),
+        judged AS (SELECT w.doc_id, w.pos, w.line, len(w.words) > 0 AND (g.s IS NOT NULL OR (w.doc_id, w.pos) <> sets.first) AS goes
+                   FROM w LEFT JOIN sets USING (words) LEFT JOIN gone g ON g.s = sets.s)
+        SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (goes) AS BIGINT) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes), '')) AS text_sha256
+        FROM judged GROUP BY doc_id""",
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
         h AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
