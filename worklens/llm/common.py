@@ -38,3 +38,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def held_out(doc_id: Column) -> Column:
     """The fold that no model may learn labels from: CRC-32 of the id as text, modulo 5, is 0."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def lowest_hashes(key: Column, total: int, wanted: int) -> Column:
+    """Picks about ``wanted`` of ``total`` rows, or all if there are fewer: those whose key has the lowest hashes."""
+    span = 1 << 40
+    return F.pmod(F.xxhash64(key), F.lit(span)) < F.lit(span if total <= wanted else span * wanted // total)

@@ -6,7 +6,7 @@ shares. A text's evidence is that of its most toxic word: one insult in a long t
 training the words of a text are pooled by a softmax that sharpens from epoch to epoch. A logistic fit on texts left out of
 training turns the evidence into a probability.
 
-Training uses at most ``train_toxic`` and ``train_clean`` labelled documents, those with the lowest hash of their id outside
+Training uses about ``train_toxic`` and ``train_clean`` labelled documents, those with the lowest hash of their id outside
 the held-out fold. Scoring needs one number per n-gram bucket, so a task carries a table of ``BUCKETS`` floats.
 """
 
@@ -21,13 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worklens.llm.common import held_out
+from worklens.llm.common import held_out, lowest_hashes
 
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
 DIMENSIONS = 8
-TRAIN_TOXIC = 2000
-TRAIN_CLEAN = 4000
+TRAIN_TOXIC = 1500
+TRAIN_CLEAN = 2500
 #: Code points hashed at once.
 CHUNK = 1 << 20
 
@@ -103,24 +103,35 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip((self.slope * z if self.slope else np.zeros(len(z))) + self.offset, -700, 700)))
 
 
-def _vocabulary(texts: list[list[str]]) -> tuple[list[str], list[np.ndarray]]:
+def _numbered(texts: Iterator[str]) -> tuple[list[str], list[np.ndarray]]:
+    """The different words of all texts, and each text as numbers of its words."""
     number: dict[str, int] = {}
-    rows = [np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in texts]
+    rows = [np.array([number.setdefault(w, len(number)) for w in text.split()], np.int32) for text in texts]
     return list(number), rows
 
 
-def fit(texts: list[list[str]], toxic: np.ndarray, clean_weight: float = 1.0, epochs: int = 6, batch: int = 128, rate: float = 0.3) -> ToxicityModel:
-    """Train on the distinct words of each text. ``clean_weight``: how many clean texts each one of the sample stands for."""
+def _bags(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' n-grams one word after the other, and how many each word has."""
+    grams, sizes = [], []
+    for at in range(0, len(words), at_once):
+        part = words[at : at + at_once]
+        bucket, owner, _ = word_grams(part)
+        grams.append(bucket[np.argsort(owner, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(owner, minlength=len(part)).astype(np.int32))
+    return np.concatenate(grams), np.concatenate(sizes)
+
+
+def fit(texts: list[str], toxic: np.ndarray, clean_weight: float = 1.0, epochs: int = 6, batch: int = 128, rate: float = 0.3) -> ToxicityModel:
+    """Train on the distinct words of each text, given with spaces between. ``clean_weight``: how many clean texts each one of the sample stands for."""
     kept = [i for i, words in enumerate(texts) if words]
     texts, toxic = [texts[i] for i in kept], toxic[kept].astype(float)
     if not len(toxic) or toxic.min() == toxic.max():  # nothing to tell apart
         share = float(toxic.mean()) if len(toxic) else 0.0
         return ToxicityModel(np.zeros(BUCKETS), 0.0, 0.0, 10 * (2 * share - 1) if len(toxic) else 0.0)
     rng = np.random.default_rng(0)
-    vocabulary, rows = _vocabulary(texts)
-    grams, owner, _ = word_grams(vocabulary)
-    order = np.argsort(owner, kind="stable")
-    grams, n_grams = grams[order], np.bincount(owner, minlength=len(vocabulary))
+    vocabulary, rows = _numbered(texts)
+    grams, n_grams = _bags(vocabulary)
+    del vocabulary
     first = np.concatenate([[0], np.cumsum(n_grams)[:-1]])
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
     softmax = rng.normal(0, 0.1, (DIMENSIONS, 2))
@@ -166,9 +177,9 @@ def fit(texts: list[list[str]], toxic: np.ndarray, clean_weight: float = 1.0, ep
     return model
 
 
-def _calibrate(model: ToxicityModel, texts: list[list[str]], toxic: np.ndarray, left: np.ndarray, clean_weight: float) -> tuple[float, float]:
+def _calibrate(model: ToxicityModel, texts: list[str], toxic: np.ndarray, left: np.ndarray, clean_weight: float) -> tuple[float, float]:
     """Slope and offset of a logistic fit of the label on the evidence, by damped Newton steps."""
-    x = model.evidence([" ".join(texts[i]) for i in left])
+    x = model.evidence([texts[i] for i in left])
     y = toxic[left]
     if not len(y) or y.min() == y.max():
         return 1.0, 0.0
@@ -187,30 +198,27 @@ def _calibrate(model: ToxicityModel, texts: list[list[str]], toxic: np.ndarray,
 
 def _distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        words = [sorted({w for w in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()}) for t in batch["text"]]
+        words = [" ".join(sorted({w for w in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()})) for t in batch["text"]]
         yield pd.DataFrame({"toxic": batch["toxic"], "words": words})
 
 
 def train(docs: DataFrame, labels: DataFrame, train_toxic: int = TRAIN_TOXIC, train_clean: int = TRAIN_CLEAN) -> ToxicityModel:
     """Fit on a bounded sample of the labelled documents outside the held-out fold.
 
-    Labels without a value and documents without an id teach nothing. Contradicting labels of a document all count.
+    Of each label those ids are taken whose hash lies below the share that gives the wanted number. Labels without a value and
+    documents without an id teach nothing. Contradicting labels of a document all count.
     """
     marked = docs.select("doc_id").where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     marked = marked.join(labels.where("toxic IN (0, 1)").select("doc_id", "toxic"), "doc_id")
     size = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = None
-    for value, most in ((1, train_toxic), (0, train_clean)):
-        part = marked.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    # The choice has at most train_toxic + train_clean rows.
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.distinct()), "doc_id")
-    rows = sample.select("text", "toxic").mapInPandas(_distinct_words, "toxic int, words array<string>").collect()
-    rows.sort(key=lambda r: (r["toxic"], r["words"]))
-    order = np.random.default_rng(1).permutation(len(rows))
-    texts = [list(rows[i]["words"]) for i in order]
-    toxic = np.array([rows[i]["toxic"] for i in order])
-    return fit(texts, toxic, max(1.0, size.get(0, 0) / max(1, min(size.get(0, 0), train_clean))))
+    most = {1: train_toxic, 0: train_clean}
+    wanted = [lowest_hashes(F.col("doc_id"), size.get(v, 0), most[v]) & (F.col("toxic") == v) for v in most]
+    # About train_toxic + train_clean rows, and never twice as many.
+    chosen = marked.where(wanted[0] | wanted[1]).distinct().limit(2 * (train_toxic + train_clean))
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = sample.select("text", "toxic").mapInPandas(_distinct_words, "toxic int, words string").toPandas()
+    rows = rows.sort_values(["toxic", "words"], ignore_index=True).sample(frac=1.0, random_state=1)
+    return fit(rows["words"].tolist(), rows["toxic"].to_numpy(), max(1.0, size.get(0, 0) / train_clean))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
