@@ -13,11 +13,11 @@ No exchange is needed: each task packs the rows that it reads, and its few last
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +33,15 @@ BUFFER = 1024
 PIECES_KEPT = 400_000
 END_OF_DOCUMENT = 1
 
-# The vocabulary's own way to cut a text, for texts in which it can be applied before the tokenizer: printable ASCII and
-# Latin letters that neither composition nor context-dependent lower-casing touches. Fixed values of the vocabulary.
-_LATIN = regex.compile(r"[\t\n\r\x20-\x7e¡-įı-ňŊ-ž]*")
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+# The vocabulary's own way to cut a text, for texts in which it can be applied before the tokenizer: printable ASCII and Latin
+# letters up to U+017E that neither composition nor context-dependent lower-casing touches. Fixed values of the vocabulary:
+# contractions, runs of letters, single digits, runs of the rest.
+_LATIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a1-\\u012f\\u0131-\\u0148\\u014a-\\u017e]*")
+_LETTERS, _DIGITS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017e", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+")
+# How the vocabulary writes bytes: printable ones as themselves, the others as letters from U+0100 on.
+_PLAIN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTES = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
 class WordTokenizer(dict):
@@ -57,7 +62,8 @@ class WordTokenizer(dict):
         self.used = 0
 
     def __missing__(self, piece: str) -> int:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+        ids = [token.id for token in self.tokenizer.model.tokenize(written)]
         number = len(self)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
