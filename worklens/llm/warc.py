@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worklens.sources.staging import stage_root
+from worklens.sources.staging import settle, stage_root
 
 MAGIC = b"WARC/1.0\r\n"
 RECORD_END = "\r\n\r\n"
@@ -48,8 +48,9 @@ def with_revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"),
     )
     keyed = rows.withColumn("digest", F.sha2("payload", 256))
-    first = keyed.where(F.octet_length("payload") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"))
-    out = keyed.join(first, "digest", "left")
+    groups = keyed.where(F.octet_length("payload") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    # Payloads that occur once need no partner, so the table is as small as copies are rare, and its size is known.
+    out = keyed.join(settle(groups.where("n > 1").drop("n"), "copied-payloads"), "digest", "left")
     return out.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
