@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.inputs import P, analysed_works, scored_works, tidy
@@ -9,6 +12,7 @@ from catalog.oracles import ACTIVE_LIST, STEPS, oracle, quantile, r, tidy as sql
 from catalog.registry import query
 from worklens.operators import iforest
 from worklens.plans import evaluate, matrix
+from worklens.sources.staging import settle, stage_root
 
 
 MOMENTS = "mean std skew kurtosis p1 p5 p25 p50 p75 p95 p99"
@@ -129,10 +133,93 @@ def anomaly_severity(spark, sf):
     return iforest.severity(analysed_works(spark, sf).select("work_id", "raw_anomaly_score")).drop("raw_anomaly_score")
 
 
-@query(oracle("SELECT unnest([" + ", ".join(f"'{c}'" for c in ACTIVE_LIST) + "]) AS feature_name"))
+@query(oracle(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature_name, {r(f'100.0::double * (count(*) - count({c})) / count(*)', 2)} AS missing_percentage FROM filled" for c in ACTIVE_LIST)))
 def model_feature_choice(spark, sf):
+    """The features that the dictionary of these works gives to the model, with their share of missing values."""
     dictionary = matrix.feature_dictionary(analysed_works(spark, sf))
-    return dictionary.where("used_for_model").select("feature_name")
+    return dictionary.where(F.col("feature_name").isin(matrix.model_features(dictionary))).select("feature_name", "missing_percentage")
+
+
+@query(oracle("SELECT project_status, count(*) AS works, 0::bigint AS flags_off, 0::bigint AS labels_off, 0::bigint AS severity_off, true AS cut_is_quantile FROM works GROUP BY project_status"))
+def forest_properties(spark, sf):
+    """What must hold for fitted scores: flags and labels follow the sign, severity is the rescaled score, and the cut between
+    flagged and other works is the quantile of the scores that the contamination names."""
+    _, out = iforest.detect(analysed_works(spark, sf).select("work_id", "project_status", *matrix.active_features()), matrix.active_features(), P)
+    out = settle(out.select("work_id", "project_status", "raw_anomaly_score", "normalized_anomaly_score", "anomaly_label", "is_anomaly"), "fitted")
+    s = F.col("raw_anomaly_score")
+    low, high, cut = out.agg(F.min(s), F.max(s), F.percentile(s, F.lit(P.contamination))).first()
+    return out.groupBy("project_status").agg(
+        F.count_distinct("work_id").alias("works"),
+        F.count_if((s < 0) != (F.col("is_anomaly") == 1)).alias("flags_off"),
+        F.count_if((s < 0) != (F.col("anomaly_label") == -1)).alias("labels_off"),
+        F.count_if(F.abs(F.col("normalized_anomaly_score") - (high - s) / (high - low)) > 1e-6).alias("severity_off"),
+        F.lit(abs(cut) < 1e-9).alias("cut_is_quantile"),
+    )
+
+
+@query(oracle("SELECT project_status, count(*) AS works, 0::bigint AS scores_off, 0::bigint AS flags_off FROM works GROUP BY project_status"))
+def saved_model_properties(spark, sf):
+    """A forest read back from its tables gives every work the score and flag of the fitted one."""
+    df = analysed_works(spark, sf).select("work_id", "project_status", *matrix.active_features())
+    forest = iforest.fit(df, matrix.active_features(), P)
+    path = f"{stage_root(spark)}/model-{uuid.uuid4().hex}"
+    iforest.save(forest, path)
+    kept = ["work_id", "project_status", "raw_anomaly_score", "is_anomaly"]
+    mine = forest.score(df).select(*kept)
+    again = iforest.load(spark, path).score(df).select("work_id", F.col("raw_anomaly_score").alias("s"), F.col("is_anomaly").alias("f"))
+    return mine.join(again, "work_id").groupBy("project_status").agg(
+        F.count(F.lit(1)).alias("works"),
+        F.count_if(F.abs(F.col("raw_anomaly_score") - F.col("s")) > 1e-12).alias("scores_off"),
+        F.count_if(F.col("is_anomaly") != F.col("f")).alias("flags_off"),
+    )
+
+
+_SEEDS = list(P.stability_seeds)
+_kinds = [("seed_instance", len(_SEEDS)), ("pairwise_stability", len(_SEEDS) * (len(_SEEDS) - 1) // 2), ("contamination_sensitivity", len(P.sensitivity))]
+
+
+@query(oracle(" UNION ALL ".join(f"SELECT '{k}' AS metric_type, {n}::bigint AS rows, count(*) AS works, 0::bigint AS counts_off, 0::bigint AS jaccard_off, 0::bigint AS rho_off FROM works" for k, n in _kinds)))
+def stability_properties(spark, sf):
+    """The stability table against flags, overlaps and rank correlations taken anew from the score columns."""
+    df = analysed_works(spark, sf).select("work_id", *matrix.active_features())
+    table = {(t["metric_type"], t["seed_id"], t["contamination"]): t for t in evaluate.seed_stability(df, matrix.active_features(), P).collect()}
+    scores = settle(iforest.seed_scores(df, matrix.active_features(), _SEEDS, P), "scores-again")
+    shares = sorted({*P.sensitivity, P.contamination})
+    cuts = scores.agg(*[F.percentile(f"score_{s}", F.array(*[F.lit(c) for c in shares])) for s in _SEEDS]).first()
+    flag = {(s, c): F.col(f"score_{s}") < cuts[i][j] for i, s in enumerate(_SEEDS) for j, c in enumerate(shares)}
+    base, usual = _SEEDS[0], P.contamination
+    wanted = [(("seed_instance", str(s), usual), (s, usual), (base, usual)) for s in _SEEDS]
+    wanted += [(("pairwise_stability", f"{a}_vs_{b}", usual), (a, usual), (b, usual)) for i, a in enumerate(_SEEDS) for b in _SEEDS[i + 1:]]
+    wanted += [(("contamination_sensitivity", str(P.seed), c), (base, c), (base, usual)) for c in P.sensitivity]
+    for s in _SEEDS:
+        scores = scores.withColumn(f"rank_{s}", F.percent_rank().over(Window.orderBy(f"score_{s}")))  # a catalog check on one machine
+    aggregates = []
+    for i, (_, a, b) in enumerate(wanted):
+        either = F.count_if(flag[a] | flag[b])
+        aggregates += [F.count_if(flag[a]).alias(f"n{i}"), F.try_divide(F.count_if(flag[a] & flag[b]).cast("double"), either.cast("double")).alias(f"j{i}"), F.corr(f"rank_{a[0]}", f"rank_{b[0]}").alias(f"r{i}")]
+    again = scores.agg(F.count(F.lit(1)).alias("works"), *aggregates).first()
+    rows = []
+    for kind, _ in _kinds:
+        mine = [(i, table[key]) for i, (key, *_) in enumerate(wanted) if key[0] == kind]
+        off = lambda column, mark, most: sum(abs(t[column] - again[f"{mark}{i}"]) > most for i, t in mine)
+        rho = "spearman_rho_vs_baseline"
+        rows.append((kind, len(mine), again["works"], off("anomalies_flagged", "n", 0), off("jaccard_vs_baseline", "j", 1e-9), off(rho, "r", 1e-3)))
+    return spark.createDataFrame(rows, "metric_type string, rows bigint, works bigint, counts_off bigint, jaccard_off bigint, rho_off bigint")
+
+
+@query(oracle("""
+    SELECT 0 AS position, 'works' AS stage, 'done' AS status, count(*) AS rows FROM works UNION ALL SELECT 1, 'payments', 'done', count(*) FROM payments
+    UNION ALL SELECT 2, 'sponsors', 'done', count(*) FROM sponsors UNION ALL SELECT 3, 'features', 'done', count(*) FROM works
+    UNION ALL SELECT 4, 'dictionary', 'done', """ + str(len(matrix.ID_COLUMNS) + len(matrix.FEATURES)) + """ UNION ALL SELECT 5, 'analysed', 'done', count(*) FROM works
+    UNION ALL SELECT 6, 'model', 'done', count(*) FROM works UNION ALL SELECT 7, 'scored', 'done', count(*) FROM works UNION ALL SELECT 8, 'master', 'done', count(*) FROM works"""))
+def batch_run_table(spark, sf):
+    """The run table of a whole batch run."""
+    from catalog.inputs import raw
+    from worklens.plans import batch
+
+    inputs = (raw(spark, sf, n) for n in ("recommended_raw", "completed_raw", "payments_raw", "sponsor_raw"))
+    return batch.full_run(*inputs, P, stop=False).report(spark).select("position", "stage", "status", "rows")
 
 
 @query()
@@ -144,10 +231,6 @@ def seed_stability(spark, sf):
 @query()
 def model_saved_and_loaded(spark, sf):
     """Scores of a forest read back from its stored tables."""
-    import uuid
-
-    from worklens.sources.staging import stage_root
-
     df = analysed_works(spark, sf).drop("raw_anomaly_score", "anomaly_label", "is_anomaly", "normalized_anomaly_score")
     forest = iforest.fit(df, matrix.active_features(), P)
     path = f"{stage_root(spark)}/model-{uuid.uuid4().hex}"

@@ -263,10 +263,14 @@ def screening_stream(spark, sf):
 
 @query(oracle("SELECT * FROM log"))
 def review_stream(spark, sf):
-    """Every entry is delivered twice; each is logged once."""
+    """Every entry is delivered twice, in several batches, the oldest ones last; each is logged once."""
     arrived, log = _folder(spark, "arrived"), _folder(spark, "log")
-    _entries(spark, sf).unionByName(_entries(spark, sf)).write.parquet(arrived)
-    stream = jobs.file_stream(spark, arrived, audit.LOG_SCHEMA)
+    entries = _entries(spark, sf)
+    middle = entries.agg(F.median(F.unix_micros(F.col("review_timestamp").cast("timestamp")))).first()[0]
+    newer = F.unix_micros(F.col("review_timestamp").cast("timestamp")) >= middle
+    for part in (entries.where(newer), entries, entries.where(~newer)):
+        part.coalesce(1).write.mode("append").parquet(arrived)
+    stream = jobs.file_stream(spark, arrived, audit.LOG_SCHEMA, files_per_batch=1)
     jobs.review_stream(stream, log, _folder(spark, "rejected"), _folder(spark, "cp")).awaitTermination()
     return spark.read.parquet(log).drop("batch")
 
@@ -291,9 +295,19 @@ def _round_trip(spark, sf, compressed: bool):
     return io.read_csv(spark, path, _PAY_SCHEMA, spread=8 if compressed else None)
 
 
-@query(oracle("SELECT mp_name, vendor, trim(expenditure_amount) AS expenditure_amount, expenditure_date, payment_status FROM payments_raw"))
+_BROKEN = "concat(work_description, '\\n\"second\", line of ', vendor)"
+
+
+@query(oracle("""
+    SELECT * REPLACE (trim(expenditure_amount) AS expenditure_amount, work_description || chr(10) || '"second", line of ' || vendor AS work_description),
+           NULL::VARCHAR AS malformed FROM (SELECT mp_name, constituency, state, work_description, vendor, ida, expenditure_amount, expenditure_date, payment_status FROM payments_raw)"""))
 def csv_round_trip(spark, sf):
-    return _round_trip(spark, sf, False).select("mp_name", "vendor", F.trim("expenditure_amount").alias("expenditure_amount"), "expenditure_date", "payment_status")
+    """All columns, with descriptions that hold line breaks, quotes and commas."""
+    path = _folder(spark, "csv")
+    rows = clean.canonical(raw(spark, sf, "payments_raw"), clean.PAYMENT_TITLES).withColumn("work_description", F.expr(_BROKEN))
+    io.write_csv(rows, path)
+    read = io.read_csv(spark, path, _PAY_SCHEMA, keep_malformed=True)
+    return read.withColumn("expenditure_amount", F.trim("expenditure_amount")).withColumnRenamed(io.MALFORMED, "malformed")
 
 
 @query(oracle("SELECT vendor, count(*) AS rows FROM payments_raw GROUP BY vendor"))

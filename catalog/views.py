@@ -37,8 +37,8 @@ VIEWS = {
                mp_name, constituency, state, {_rupees("o_totalprice")} AS recommended_amount,
                cast(o_orderdate AS string) AS recommendation_date, o_orderstatus <> 'P' AS has_images,
                o_orderpriority AS ida
-        FROM orders JOIN geo ON o_custkey = c_custkey
-        WHERE o_orderpriority <> '4-NOT SPECIFIED'""",
+        FROM orders JOIN geo ON o_custkey = c_custkey LEFT JOIN finished ON l_orderkey = o_orderkey
+        WHERE o_orderstatus <> 'F' OR l_orderkey IS NULL""",
     "finished": """
         SELECT l_orderkey, sum(cast(l_extendedprice AS decimal(18,2))) AS amount, max(l_shipdate) AS shipped,
                min(l_partkey) AS partkey

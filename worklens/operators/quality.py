@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,17 +137,19 @@ def flat_features(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 
 def correlated_pairs(df: DataFrame, columns: Iterable[str], at_least: float = 0.85) -> DataFrame:
-    """Feature pairs with |Pearson r| at or above the limit, from one distributed pass over the matrix."""
+    """Feature pairs with |Pearson r| at or above the limit, from one distributed pass over the matrix.
+
+    A pair uses every row in which both its values are known: a null or NaN costs the row for that pair only.
+    """
     columns = list(columns)
-    cast = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    vectors = VectorAssembler(inputCols=columns, outputCol="x", handleInvalid="skip").transform(cast).select("x")
-    r = Correlation.corr(vectors, "x").first()[0].toArray()  # one small matrix
-    rows = [
-        (a, b, float(r[i, j]))
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-        if i < j and abs(r[i, j]) >= at_least
-    ]
+
+    def known(c: str) -> Column:
+        value = F.col(c).cast("double")
+        return F.when(~F.isnan(value), value)
+
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    r = df.select(*[known(c).alias(c) for c in columns]).agg(*[F.corr(a, b) for a, b in pairs]).first()
+    rows = [(a, b, float(v)) for (a, b), v in zip(pairs, r or []) if v is not None and abs(v) >= at_least]
     return df.sparkSession.createDataFrame(rows, "feature_1 string, feature_2 string, r double")
 
 

@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklens.operators import iforest, quality
@@ -15,12 +15,16 @@ from worklens.plans import baselines, clean, master, matrix, risk
 from worklens.sources.staging import settle
 
 
-def analysed(works: DataFrame, payments: DataFrame, sponsors: DataFrame, p: Params = Params()) -> tuple[DataFrame, dict]:
+def analysed(
+    works: DataFrame, payments: DataFrame, sponsors: DataFrame, p: Params = Params(), featured: DataFrame | None = None
+) -> tuple[DataFrame, dict]:
     """Works with all features, cohort benchmarks, model inputs filled in and sponsor metrics.
 
     ``raw_amount`` keeps the amount as recorded; ``effective_amount`` becomes the model's filled input.
     """
-    df = baselines.with_baseline(matrix.settled_features(works, payments, sponsors, p), p)
+    if featured is None:
+        featured = matrix.settled_features(works, payments, sponsors, p)
+    df = baselines.with_baseline(featured, p)
     df = settle(df.withColumn("raw_amount", F.col("effective_amount")), "analysed")
     filled, fill = matrix.impute_features(df)
     return risk.with_sponsor_metrics(filled, sponsors), fill
@@ -31,32 +35,69 @@ def scored(analysed_works: DataFrame, p: Params = Params()) -> DataFrame:
     return risk.with_risk(analysed_works.withColumn("effective_amount", F.col("raw_amount")), p)
 
 
+RUN_TABLE = "position int, stage string, status string, rows bigint, seconds double, error string"
+
+
 @dataclass
 class Run:
-    """Results of a batch run. ``timings`` has one row per finished stage."""
+    """Results of a batch run: its tables, and one entry per stage begun in ``log``, failed ones too."""
 
     tables: dict[str, DataFrame] = field(default_factory=dict)
-    timings: list[tuple[str, float]] = field(default_factory=list)
+    log: list[tuple] = field(default_factory=list)
     forest: iforest.Forest | None = None
+    failure: Exception | None = None
 
     def stage(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """An error ends the run here; finished stages stay available."""
         began = time.monotonic()
-        self.tables[name] = settle(make(), name)
-        self.timings.append((name, time.monotonic() - began))
+        try:
+            self.tables[name] = settle(make(), name)
+        except Exception as e:
+            self.log.append((len(self.log), name, "failed", None, time.monotonic() - began, f"{type(e).__name__}: {e}"[:500]))
+            self.failure = e
+            raise
+        rows = self.tables[name].count()
+        self.log.append((len(self.log), name, "done", rows, time.monotonic() - began, None))
         return self.tables[name]
 
+    @property
+    def timings(self) -> list[tuple[str, float]]:
+        return [(entry[1], entry[4]) for entry in self.log]
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """The run table: one row per stage."""
+        return spark.createDataFrame(self.log, RUN_TABLE)
+
 
-def full_run(raw_recommended: DataFrame, raw_completed: DataFrame, raw_payments: DataFrame, raw_sponsors: DataFrame, p: Params = Params()) -> Run:
+def full_run(
+    raw_recommended: DataFrame,
+    raw_completed: DataFrame,
+    raw_payments: DataFrame,
+    raw_sponsors: DataFrame,
+    p: Params = Params(),
+    stop: bool = True,
+) -> Run:
+    """All stages in order. With ``stop=False`` a failing stage ends the run without an error; the run table tells."""
     run = Run()
+    try:
+        _stages(run, raw_recommended, raw_completed, raw_payments, raw_sponsors, p)
+    except Exception:
+        if stop or run.failure is None:
+            raise
+    return run
+
+
+def _stages(run: Run, raw_recommended: DataFrame, raw_completed: DataFrame, raw_payments: DataFrame, raw_sponsors: DataFrame, p: Params) -> None:
     works = run.stage(
         "works",
         lambda: clean.unify_works(clean.clean_recommended(raw_recommended), clean.clean_completed(raw_completed), p),
     )
     payments = run.stage("payments", lambda: clean.clean_payments(raw_payments, p))
     sponsors = run.stage("sponsors", lambda: clean.clean_sponsors(raw_sponsors))
-    ready = run.stage("analysed", lambda: analysed(works, payments, sponsors, p)[0])
-    features = matrix.active_features()
+    featured = run.stage("features", lambda: matrix.with_all_features(works, payments, sponsors, p))
+    dictionary = run.stage("dictionary", lambda: matrix.feature_dictionary(featured))
+    ready = run.stage("analysed", lambda: analysed(works, payments, sponsors, p, featured)[0])
+    features = matrix.model_features(dictionary)  # the dictionary decides what the model sees
     quality.require_clean(ready, features)
 
     def model() -> DataFrame:
@@ -66,4 +107,3 @@ def full_run(raw_recommended: DataFrame, raw_completed: DataFrame, raw_payments:
     flagged = run.stage("model", model)
     run.stage("scored", lambda: scored(flagged, p))
     run.stage("master", lambda: master.master_table(run.tables["scored"], p))
-    return run

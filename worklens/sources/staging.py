@@ -16,8 +16,12 @@ from pyspark.sql.types import StructType
 
 
 def stage_root(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``. Only a session on one machine may do without: it gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="worklens-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/") + "/worklens"

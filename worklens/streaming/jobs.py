@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -38,18 +39,37 @@ def screen_stream(proposals: DataFrame, past: History, out: str, checkpoint: str
     )
 
 
-def review_stream(entries: DataFrame, log: str, rejected: str, checkpoint: str, late: str = "30 days") -> StreamingQuery:
-    """Validated append of review decisions; an entry delivered twice within the watermark is logged once."""
-    once = entries.withColumn("_event_time", F.col("review_timestamp").cast("timestamp"))
-    once = once.withWatermark("_event_time", late).dropDuplicatesWithinWatermark(["log_id"]).drop("_event_time")
+def _logged(spark: SparkSession, folders: list[str], number: int) -> DataFrame | None:
+    """Ids that earlier batches have written to the folders; the folder of a repeated batch doesn't count."""
+    out = None
+    for path in folders:
+        try:
+            rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+        except AnalysisException:  # nothing is written yet
+            continue
+        ids = rows.where(F.col("batch") != number).select("log_id")
+        out = ids if out is None else out.unionByName(ids)
+    return out
+
+
+def review_stream(entries: DataFrame, log: str, rejected: str, checkpoint: str) -> StreamingQuery:
+    """Validated append of review decisions. An entry delivered more than once is logged or rejected once, however late it comes.
+
+    Every decision ends up in the log or among the rejected: there is no watermark. A batch is compared with the ids written
+    before, a scan of one column; entries without an id can't be told apart and are all kept.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        arrived = settle(batch, "reviews")
+        named = batch.where(F.col("log_id").isNotNull()).dropDuplicates(["log_id"])
+        before = _logged(batch.sparkSession, [log, rejected], number)
+        if before is not None:
+            named = named.join(before, "log_id", "left_anti").select(*batch.columns)
+        arrived = settle(named.unionByName(batch.where(F.col("log_id").isNull())), "reviews")
         good, bad = audit.split_valid(arrived)
         _into(good, number, log)
         _into(bad, number, rejected)
 
-    return once.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return entries.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def status_stream(entries: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
