@@ -1,7 +1,7 @@
 """Toxicity from subword bags.
 
 A word is the bag of its character n-grams, with marks at its ends. The n-grams' vectors are averaged and go through a linear
-softmax; vectors and softmax are trained jointly in numpy on the driver, so a misspelt or unseen word scores by the n-grams it
+softmax; vectors and softmax are trained jointly in numpy in one task, so a misspelt or unseen word scores by the n-grams it
 shares. A text's evidence is that of its most toxic word: one insult in a long text counts as much as in a short one. In
 training the words of a text are pooled by a softmax that sharpens from epoch to epoch. A logistic fit on texts left out of
 training turns the evidence into a probability.
@@ -216,9 +216,20 @@ def train(docs: DataFrame, labels: DataFrame, train_toxic: int = TRAIN_TOXIC, tr
     # About train_toxic + train_clean rows, and never twice as many.
     chosen = marked.where(wanted[0] | wanted[1]).distinct().limit(2 * (train_toxic + train_clean))
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = sample.select("text", "toxic").mapInPandas(_distinct_words, "toxic int, words string").toPandas()
-    rows = rows.sort_values(["toxic", "words"], ignore_index=True).sample(frac=1.0, random_state=1)
-    return fit(rows["words"].tolist(), rows["toxic"].to_numpy(), max(1.0, size.get(0, 0) / train_clean))
+    words = sample.select("text", "toxic").mapInPandas(_distinct_words, "toxic int, words string")
+    weight = max(1.0, size.get(0, 0) / train_clean)
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"toxic": [], "words": []}), *batches])
+        rows = rows.sort_values(["toxic", "words"], ignore_index=True).sample(frac=1.0, random_state=1)
+        m = fit(rows["words"].tolist(), rows["toxic"].to_numpy(), weight)
+        yield pd.DataFrame({"margin": [m.gram_margin.astype("<f4").tobytes()], "bias": [m.bias], "slope": [m.slope], "offset": [m.offset]})
+
+    # The bounded sample is fitted in one task; a number per bucket comes back.
+    m = words.repartition(1).mapInPandas(fitted, "margin binary, bias double, slope double, offset double").first()
+    if m is None:  # no labelled row reached the task
+        return fit([], np.zeros(0))
+    return ToxicityModel(np.frombuffer(bytes(m["margin"]), "<f4"), m["bias"], m["slope"], m["offset"])
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
