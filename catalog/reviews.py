@@ -347,13 +347,21 @@ def immutable_landing_plan(spark, sf):
     return io.landing_plan(offered, landed).select("file_name", "sha256", "action")
 
 
-@query(oracle("""SELECT dataset, row_count, unnest(names) AS column_name, unnest(nulls) AS null_count FROM (
-    SELECT 'payments' AS dataset, count(*) AS row_count, ['expenditure_amount', 'vendor'] AS names, [0::bigint, 0::bigint] AS nulls FROM payments_raw
-    UNION ALL SELECT 'completed', count(*), ['category', 'average_rating'], [count(*) - count(category), count(*) - count(average_rating)] FROM completed_raw)"""))
+_DATASETS = {
+    "payments": ("payments_raw", clean.PAYMENT_TITLES),
+    "recommended": ("recommended_raw", clean.RECOMMENDED_TITLES),
+    "completed": ("completed_raw", clean.COMPLETED_TITLES),
+    "sponsors": ("sponsor_raw", clean.SPONSOR_TITLES),
+}
+
+
+@query(oracle(" UNION ALL ".join(
+    f"SELECT '{name}' AS dataset, count(*) AS row_count, {len(titles)}::bigint AS column_count, '{c}' AS column_name, count(*) - count({c}) AS null_count, "
+    f"{r(f'100.0::double * (count(*) - count({c})) / count(*)', 2)} AS null_percentage FROM {source}"
+    for name, (source, titles) in _DATASETS.items() for c in titles.values())))
 def dataset_manifest(spark, sf):
+    """Every column of all four datasets, as the manifest file holds them."""
     path = _folder(spark, "manifest")
-    io.write_manifest({
-        "payments": clean.canonical(raw(spark, sf, "payments_raw"), clean.PAYMENT_TITLES).select("expenditure_amount", "vendor"),
-        "completed": clean.canonical(raw(spark, sf, "completed_raw"), clean.COMPLETED_TITLES).select("category", "average_rating"),
-    }, path)
-    return spark.read.json(path).select("dataset", "row_count", F.inline("columns")).select("dataset", "row_count", "column_name", "null_count")
+    io.write_manifest({name: clean.canonical(raw(spark, sf, source), titles) for name, (source, titles) in _DATASETS.items()}, path)
+    rows = spark.read.json(path).select("dataset", "row_count", "column_count", F.inline("columns"))
+    return tidy(rows.select("dataset", "row_count", "column_count", "column_name", "null_count", "null_percentage"), "null_percentage", 2)

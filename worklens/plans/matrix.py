@@ -48,33 +48,33 @@ CONSTANT_FILLS = {
     "constituency_avg_vendor_repeat_rate": 0.0,
     "constituency_pending_payment_ratio": 0.0,
 }
-# Source columns and formulas of the dictionary.
+# Per column of the matrix: what it is computed from, how, its type, and what it says. Our own wording throughout.
 DICTIONARY = {
-    "work_id": ("work_id", "identifier", "string"),
-    "project_status": ("project_status", "category", "string"),
-    "state": ("state", "place", "string"),
-    "constituency": ("constituency", "place", "string"),
-    "effective_amount": ("final_amount / recommended_amount", "COALESCE(final_amount, recommended_amount)", "float64"),
-    "cost_deviation": ("effective_amount", "(cost - mean_state) / std_state", "float64"),
-    "state_cost_percentile": ("effective_amount", "Percentile(effective_amount | State)", "float64"),
-    "constituency_cost_percentile": ("effective_amount", "Percentile(effective_amount | Constituency)", "float64"),
-    "release_ratio": ("total_expenditure / allocated_amount", "total_expenditure / allocated_amount", "float64"),
-    "recommendation_sanction_ratio": ("recommended_amount", "recommended_amount / mean_state(recommended_amount)", "float64"),
-    "is_impossible_date_sequence": ("completed_date, recommendation_date", "completed < recommended", "int64"),
-    "is_negative_duration": ("completed_date, recommendation_date", "duration < 0", "int64"),
-    "is_covid_era": ("recommendation_year / completed_year", "year in window", "int64"),
-    "year_over_year_change": ("project_count", "(count_t - count_t-1) / count_t-1 * 100", "float64"),
-    "description_length": ("work_description", "characters", "int64"),
-    "word_count": ("work_description", "words", "int64"),
-    "tfidf_mean": ("work_description", "mean TF-IDF weight over the vocabulary", "float64"),
-    "tfidf_max": ("work_description", "largest TF-IDF weight", "float64"),
-    "nearest_similarity_score": ("work_description", "max cosine in cohort", "float32"),
-    "similar_project_count": ("work_description", "count cosine >= 0.85 in cohort", "int32"),
-    "constituency_max_vendor_share": ("vendor_share_of_constituency_expenditure", "max share", "float64"),
-    "constituency_avg_vendor_transaction": ("average_vendor_transaction", "mean of vendor means", "float64"),
-    "constituency_vendor_count": ("vendor", "distinct vendors", "float64"),
-    "constituency_avg_vendor_repeat_rate": ("vendor_repeat_rate", "mean repeat rate", "float64"),
-    "constituency_pending_payment_ratio": ("pending_payment_ratio", "mean pending ratio", "float64"),
+    "work_id": ("work_id", "as recorded", "string", "Number of the work"),
+    "project_status": ("presence in both lists", "recommended, completed or both", "string", "How far the work has come"),
+    "state": ("state", "as recorded", "string", "State of the sponsor"),
+    "constituency": ("constituency", "as recorded", "string", "Constituency of the sponsor"),
+    "effective_amount": ("final_amount, recommended_amount", "final amount, else recommended amount", "double", "What the work costs"),
+    "cost_deviation": ("effective_amount", "z-score within the state", "double", "Deviations above or below the state's usual cost"),
+    "state_cost_percentile": ("effective_amount", "percentile rank within the state", "double", "Place among the state's works by cost"),
+    "constituency_cost_percentile": ("effective_amount", "percentile rank within the constituency", "double", "Place among the constituency's works by cost"),
+    "release_ratio": ("total_expenditure, allocated_amount", "spent over allocated", "double", "Share of the sponsor's allocation that is spent"),
+    "recommendation_sanction_ratio": ("recommended_amount", "amount over the state's mean", "double", "Size against the state's usual recommendation"),
+    "is_impossible_date_sequence": ("completed_date, recommendation_date", "completed before recommended", "int", "Dates that can't both be right"),
+    "is_negative_duration": ("completed_date, recommendation_date", "days between below zero", "int", "Duration below zero"),
+    "is_covid_era": ("recommendation_year, completed_year", "year among the listed ones", "int", "Falls into the years of the pandemic"),
+    "year_over_year_change": ("works per state and year", "percent change to the year before", "double", "Growth of the state's number of works"),
+    "description_length": ("work_description", "number of characters", "int", "Length of the description"),
+    "word_count": ("work_description", "number of words", "int", "Words of the description"),
+    "tfidf_mean": ("work_description", "mean term weight over the vocabulary", "double", "How much the description says on average"),
+    "tfidf_max": ("work_description", "largest term weight", "double", "Weight of the description's rarest term"),
+    "nearest_similarity_score": ("work_description", "largest cosine within the place", "double", "Likeness to the most similar other work"),
+    "similar_project_count": ("work_description", "works within the place at or above the cosine limit", "int", "Number of works described alike"),
+    "constituency_max_vendor_share": ("payments by vendor", "largest share of the constituency's spending", "double", "Weight of the constituency's main vendor"),
+    "constituency_avg_vendor_transaction": ("payments by vendor", "mean of the vendors' mean payments", "double", "Usual payment in the constituency"),
+    "constituency_vendor_count": ("payments by vendor", "number of vendors", "double", "Vendors paid in the constituency"),
+    "constituency_avg_vendor_repeat_rate": ("payments by vendor", "mean of the vendors' repeat rates", "double", "How often vendors are paid again"),
+    "constituency_pending_payment_ratio": ("payments by vendor", "mean of the vendors' pending shares", "double", "Share of payments still open"),
 }
 
 
@@ -112,10 +112,10 @@ def feature_dictionary(featured: DataFrame) -> DataFrame:
     spark = featured.sparkSession
     facts = spark.createDataFrame(
         [(i, n, *DICTIONARY[n], bool(FEATURES.get(n, False))) for i, n in enumerate(names)],
-        "position int, feature_name string, source_column string, formula string, data_type string, used_for_model boolean",
+        "position int, feature_name string, source_column string, formula string, data_type string, description string, used_for_model boolean",
     )
     return facts.join(profile, facts.feature_name == profile.column_name).select(
-        "position", "feature_name", "source_column", "formula", "data_type",
+        "position", "feature_name", "source_column", "formula", "data_type", "description",
         rounded(F.col("null_percentage"), 2).alias("missing_percentage"), "used_for_model",
     )
 
