@@ -188,13 +188,21 @@ def screening_by_mean(spark, sf):
     return screening.score_by_mean(_proposals(spark, sf), _history(spark, sf), P)
 
 
+STEPS["prop_found"] = """
+    SELECT p.proposal_id, c.work_id, score FROM proposals p
+    JOIN prop_sim s ON s.asked = trim(regexp_replace(lower(p.work_description), '[^\\p{L}\\p{N}]+', ' ', 'g')) JOIN wk_clean c ON c.cleaned = s.past"""
+STEPS["prop_any"] = """
+    SELECT * FROM prop_found UNION ALL
+    SELECT proposal_id, work_id, 0.0::double FROM proposals, (SELECT work_id FROM master ORDER BY work_id LIMIT 10)
+    WHERE (proposal_id, work_id) NOT IN (SELECT (proposal_id, work_id) FROM prop_found)"""
+
+
 @query(oracle(f"""
     SELECT proposal_id, rank, work_id, match_description, category, effective_amount, state, similarity_pct FROM (
-        SELECT p.proposal_id, m.work_id, m.work_description AS match_description, m.category, m.effective_amount, m.state,
+        SELECT f.proposal_id, m.work_id, m.work_description AS match_description, m.category, m.effective_amount, m.state,
                {r("score * 100", 1)} AS similarity_pct,
-               row_number() OVER (PARTITION BY p.proposal_id ORDER BY {r("score", 9)} DESC, m.work_id) AS rank
-        FROM proposals p JOIN prop_sim s ON s.asked = trim(regexp_replace(lower(p.work_description), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))
-             JOIN wk_clean c ON c.cleaned = s.past JOIN master m ON m.work_id = c.work_id) WHERE rank <= 5"""))
+               row_number() OVER (PARTITION BY f.proposal_id ORDER BY {r("score", 9)} DESC, m.work_id) AS rank
+        FROM prop_any f JOIN master m USING (work_id)) WHERE rank <= 5"""))
 def similar_matches_of_proposals(spark, sf):
     history = _history(spark, sf)
     works = settled_works(spark, sf).select("work_id", "state", "constituency", "work_description")
