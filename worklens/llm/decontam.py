@@ -32,42 +32,23 @@ def words(text: str = "text") -> Column:
     return F.filter(F.split(ascii_lower(whole_text(text)), _BETWEEN), lambda w: w != "")
 
 
-def _shifted(values: Column, by: int, merge) -> Column:
-    """merge(values[i], values[i + by]) for each i where both exist."""
-    tail = F.slice(values, by + 1, F.greatest(F.size(values) - by, F.lit(0)))
-    head = F.slice(values, 1, F.greatest(F.size(values) - by, F.lit(0)))
-    return F.zip_with(head, tail, merge)
-
-
-def _runs(df: DataFrame, source: str, length: int, merge, into: str) -> DataFrame:
-    """Column ``into``: each ``length`` neighbouring values merged, by doubling. ``merge(step)``: how to merge two runs."""
-    df = df.withColumn(into, F.col(source))
-    done = 1
-    while done < length:
-        step = min(done, length - done)
-        df = df.withColumn(into, _shifted(F.col(into), step, merge(step)))
-        done += step
-    return df
-
-
-def _hashed(step: int):
-    return lambda a, b: F.xxhash64(a, b, F.lit(step))
-
-
-def _least(step: int):
-    return lambda a, b: F.least(a, b)
+def _runs(df: DataFrame, source: str, length: int, merge: str, into: str) -> DataFrame:
+    """Column ``into``: SQL function ``merge`` of each ``length`` neighbouring values; empty if there are fewer."""
+    starts = f"IF(size({source}) >= {length}, sequence(0, size({source}) - {length}), CAST(array() AS array<int>))"
+    values = ", ".join(f"{source}[i + {j}]" for j in range(length))
+    return df.withColumn(into, F.expr(f"transform({starts}, i -> {merge}({values}))"))
 
 
 def _with_grams(df: DataFrame, n: int, into: str) -> DataFrame:
     """Column ``into``: hash of each n-gram of the column ``words``; empty if there are fewer words."""
     df = df.withColumn("__h", F.transform("words", lambda w: F.xxhash64(w)))
-    return _runs(df, "__h", n, _hashed, into).drop("__h")
+    return _runs(df, "__h", n, "xxhash64", into).drop("__h")
 
 
 def _with_fingerprints(df: DataFrame, short: list[int]) -> DataFrame:
     """Column ``prints``: distinct winnowed k-gram hashes, and all n-gram hashes for the lengths in ``short``."""
     df = _with_grams(df, K, "__k")
-    df = _runs(df, "__k", WINDOW_WORDS - K + 1, _least, "__m").drop("__k")
+    df = _runs(df, "__k", WINDOW_WORDS - K + 1, "least", "__m").drop("__k")
     parts = ["__m"]
     for n in short:
         df = _with_grams(df, n, f"__n{n}")
@@ -104,11 +85,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     short = sorted(r[0] for r in items.where(F.size("words") < WINDOW_WORDS).select(F.size("words")).distinct().collect())
     lengths = [*short, WINDOW_WORDS]
 
-    prints = _with_fingerprints(items.select("words"), []).select(F.explode("prints").alias("print"))
+    # explode_outer: a plain explode filters on its input first, and the optimizer would compute the input twice for that.
+    prints = _with_fingerprints(items.select("words"), []).select(F.explode_outer("prints").alias("print"))
     for n in short:
         grams = _with_grams(items.where(F.size("words") == n).select("words"), n, "grams")
-        prints = prints.unionByName(grams.select(F.explode("grams").alias("print")))
-    prints = settle(prints.distinct(), "benchmark-prints")
+        prints = prints.unionByName(grams.select(F.explode_outer("grams").alias("print")))
+    prints = settle(prints.where("print IS NOT NULL").distinct(), "benchmark-prints")
     windows = settle(_benchmark_windows(items, lengths), "benchmark-windows")
 
     parsed = docs.select("doc_id", F.sha2(whole_text(), 256).alias("digest"), words().alias("words"))
@@ -130,8 +112,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for n in lengths:
         size = K if n == WINDOW_WORDS else n
         rows = _with_grams(found, size, "grams")
-        at = F.expr("filter(sequence(1, size(grams)), i -> array_contains(matched, grams[i - 1]))")
-        rows = rows.where("size(grams) > 0").withColumn("start", F.explode(at))
+        at = F.expr("IF(size(grams) > 0, filter(sequence(1, size(grams)), i -> array_contains(matched, grams[i - 1])), NULL)")
+        rows = rows.withColumn("start", F.explode_outer(at)).where("start IS NOT NULL")
         if n == WINDOW_WORDS:  # every window that holds the k-gram
             rows = rows.withColumn("near", F.expr(f"sequence(greatest(start - {n - K}, 1), least(start, size(words) - {n} + 1))"))
             rows = rows.where(f"greatest(start - {n - K}, 1) <= least(start, size(words) - {n} + 1)")
