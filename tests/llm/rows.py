@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-LONG = " ".join(f"word{i % 997} it's" for i in range(30_000))
+LONG = " ".join(f"word{i % 997} it's" for i in range(8_000))
 TEXTS = [
     (1, "The quick brown fox jumps over the lazy dog near the river bank today"),
     (2, "the QUICK brown fox jumps over the lazy dog near the river bank today"),
