@@ -171,6 +171,27 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_urls_of_any_length(spark, tmp_path):
+    long_url = "data:text/plain," + "x" * 100_000 + "/WARC/1.0"
+    rows = [(1, "http://a/", "first"), (2, long_url, "second"), (3, "http://c/", "third"), (4, long_url, "second")]
+    warc.write_warc(warc.with_revisits(spark.createDataFrame(rows, "page_id long, url string, html string")).coalesce(1), str(tmp_path / "w"))
+    read = warc.read_warc(spark, str(tmp_path / "w"))
+    got = {r.page_id: r for r in read.collect()}
+    assert read.count() == 4 and read.select("file").distinct().count() == 1
+    assert {i: got[i].url for i in got} == {i: url for i, url, _ in rows} and all(r.digest_holds for r in got.values())
+    assert {i: r.refers_to for i, r in got.items()} == {1: None, 2: None, 3: None, 4: 2}
+
+
+def test_magics_before_one_blank_line_have_their_own_header():
+    content = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 9\r\nWARC/1.0\r\nContent-Length: 3\r\nWARC/1.0\r\nX: y\r\n\r\nabc\r\n\r\nde\r\n\r\n"
+    assert [(c["at"], c["successor"], c["record_type"], c["payload_bytes"]) for c in warc.candidates(content)] == [
+        (0, len(content), "response", 9),
+        (content.index(b"WARC/1.0", 1), len(content) - 6, "", 3),
+    ]
+    many = b"WARC/1.0\r\n" * 200_000 + b"Content-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert sum(1 for _ in warc.candidates(many)) == 200_000  # takes minutes if each reads on to the blank line
+
+
 def test_pointer_jumping_keeps_the_chain_only():
     rng = random.Random(9)
     for _ in range(100):

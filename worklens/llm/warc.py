@@ -85,7 +85,6 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PE
 
 _MAGIC = re.compile(re.escape(MAGIC))
 _LENGTH = re.compile(rb"\r\nContent-Length: *([0-9]{1,18})\r\n", re.I)
-HEADER_BYTES = 1 << 16  #: A header is looked for in so many bytes after the magic.
 
 CANDIDATES = "file string, at long, successor long, file_bytes long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, digest_holds boolean"
 
@@ -95,33 +94,55 @@ def _page(value: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
+def _head(content: bytes, at: int, end: int) -> dict[str, tuple[str, int]]:
+    """Header lines by lower-case name: the last value, and where its line begins."""
+    head = {}
+    for line in content[at:end].split(b"\r\n"):
+        name, _, value = line.decode("utf-8", "replace").partition(":")
+        head[name.lower()] = value.strip(), at
+        at += len(line) + 2
+    return head
+
+
 def candidates(content: bytes) -> Iterator[dict]:
-    """Every place that looks like a record, with the offset that its length leads to; cut-off records are left out."""
+    """Every place that looks like a record, with the offset that its length leads to; cut-off records are left out.
+
+    A header is as long as it is. Magics before the same blank line share it, its header lines and its block, so that a content
+    full of magics is still read once.
+    """
+    end, size, head, hashed, own = -1, None, None, None, ""
     for m in _MAGIC.finditer(content):
         at = m.start()
-        end = content.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-        size = _LENGTH.search(content, at, end + 2) if end > 0 else None
+        if end < at:
+            end = content.find(b"\r\n\r\n", at)
+            if end < 0:
+                return
+            size, head = _LENGTH.search(content, at, end + 2), None
+        elif size is not None and size.start() < at:
+            size = _LENGTH.search(content, at, end + 2)
         if size is None:
             continue
         body = end + 4
         successor = body + int(size[1]) + len(RECORD_END)
         if successor > len(content) or content[successor - 4 : successor] != RECORD_END.encode():
             continue
-        lines = content[at + len(MAGIC) : end].decode("utf-8", "replace").split("\r\n")
-        head = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        payload = memoryview(content)[body : successor - 4]
-        claimed = head.get("warc-payload-digest", "").removeprefix("sha1:")
-        kind = head.get("warc-type", "")
-        own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-        length = head.get("x-payload-length", "")
+        start = at + len(MAGIC)
+        if head is None:
+            head = _head(content, start, end)
+        field = lambda name: v[0] if (v := head.get(name)) and v[1] >= start else None  # noqa: B023, E731
+        if hashed != (body, successor):
+            hashed, own = (body, successor), base64.b32encode(hashlib.sha1(memoryview(content)[body : successor - 4]).digest()).decode()
+        claimed = (field("warc-payload-digest") or "").removeprefix("sha1:")
+        kind = field("warc-type") or ""
+        length = field("x-payload-length") or ""
         yield {
             "at": at,
             "successor": successor,
-            "page_id": _page(head.get("warc-record-id")),
-            "url": head.get("warc-target-uri"),
+            "page_id": _page(field("warc-record-id")),
+            "url": field("warc-target-uri"),
             "record_type": kind,
-            "refers_to": _page(head.get("warc-refers-to")),
-            "payload_bytes": int(length) if kind == "revisit" and length.isdigit() else len(payload),
+            "refers_to": _page(field("warc-refers-to")),
+            "payload_bytes": int(length) if kind == "revisit" and length.isdigit() else successor - 4 - body,
             "payload_digest": claimed if kind == "revisit" else own,
             "digest_holds": kind == "revisit" or not claimed or claimed == own,
         }
