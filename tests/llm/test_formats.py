@@ -23,6 +23,22 @@ def test_word_tokenizer_gives_the_tokenizers_ids():
         assert words.ids(text).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_long_texts_are_cut_at_white_space_only():
+    plain = Tokenizer.from_file(PATH)
+    plain.encode_special_tokens = True
+    words = packing.WordTokenizer(PATH)
+    rng = random.Random(5)
+    letters = "".join(rng.choice("etaoinshrdlu") for _ in range(300_000))
+    lines = "\n".join(letters[i : i + 7] for i in range(0, len(letters), 7))
+    wide = "日本語のテキスト" * 40_000
+    for text in (letters, lines, lines.replace("\n", "\u3000é"), wide, wide[:270_000] + "\t" + letters + " end", "!?" * 150_000):
+        assert words.ids(text).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1]
+    gaps = [chr(i) for i in range(0x3001) if packing._GAP.fullmatch(chr(i))]
+    two = 2 * plain.encode("!", add_special_tokens=False).ids
+    assert len(gaps) == 25 and all(plain.encode(f"!{g}!", add_special_tokens=False).ids == two for g in gaps)
+    assert "".join(packing.parts_of(lines, 10)) == lines and all(p.endswith("\n") for p in list(packing.parts_of(lines, 10))[:-1])
+
+
 def check_pieces(rows, docs, limit):
     """Every id once, pieces tile their sequences, and what they say of themselves is true."""
     plain = Tokenizer.from_file(PATH)

@@ -23,8 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from worklens.llm.toxicity import chunks
-
 LIMIT = 2048
 MAX_SEGMENTS = 128
 #: Examples that a task chooses from.
@@ -41,9 +39,23 @@ _LETTERS, _DIGITS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017e", "0-9\u00b
 _PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+")
 # How the vocabulary writes bytes: printable ones as themselves, the others as letters from U+0100 on.
 _PLAIN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+#: The vocabulary's white space. It is never part of a token and nothing composes with it, so texts are cut there.
+_GAP = re.compile("[\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: Code points encoded at once, or as many more as it takes to the next white space.
+PART = 1 << 18
 _BYTES = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
+def parts_of(text: str, size: int = PART) -> Iterator[str]:
+    """The whole text in pieces of at least ``size`` code points, cut after white space only."""
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + size - 1)
+        end = gap.end() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
 class WordTokenizer(dict):
     """Token ids of texts. A dict of the pieces met so far, each with its place in the table of ids.
 
@@ -88,8 +100,8 @@ class WordTokenizer(dict):
         return self.flat[np.repeat(self.start[place] - ends + size, size) + np.arange(ends[-1])]
 
     def ids(self, text: str | None) -> np.ndarray:
-        """Ids of the whole text and the end of the document. Spaces are never part of a token, so texts are cut there."""
-        parts = [self._ids(part) for part in chunks(text or "", 1 << 18)]
+        """Ids of the whole text and the end of the document."""
+        parts = [self._ids(part) for part in parts_of(text or "")]
         return np.concatenate([*parts, np.array([END_OF_DOCUMENT], np.uint32)])
 
 
