@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 
@@ -37,3 +38,32 @@ def test_stages_on_awkward_rows(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, out, str(tmp_path))
         out.collect()
+
+
+def test_near_copies_against_brute_force(spark):
+    """Copies with up to a word in thirty replaced, with and without a common passage, short, empty and repeated rows."""
+    rng = random.Random(11)
+    common = [f"common{i}" for i in range(40)]
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([6, 60, 200]))] + common * rng.randint(0, 1)
+        for _ in range(9):
+            copy = list(base)
+            for _ in range(rng.randrange(1 + len(base) // 30)):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    texts += ["", None, " \n", "", "Two words", "two  WORDS", "two words more"]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts)) + [(None, texts[0]), (None, texts[0])]
+
+    def cut(text):
+        w = (text or "").lower().split()
+        n = min(5, len(w))
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+
+    sets = [cut(t) for t in texts]
+    near = {j for j in range(len(sets)) for i in range(j) if sets[i] & sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    got = corpus_pipeline.one_of_near_copies(spark, documents(spark, rows), "")
+    assert got.columns == documents(spark, rows).columns
+    kept = [r.doc_id for r in got.collect()]
+    assert kept.count(None) == 2 and {i for i in kept if i is not None} == set(range(len(texts))) - near
