@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +47,22 @@ def lowest_hashes(key: Column, total: int, wanted: int) -> Column:
     """Picks about ``wanted`` of ``total`` rows, or all if there are fewer: those whose key has the lowest hashes."""
     span = 1 << 40
     return F.pmod(F.xxhash64(key), F.lit(span)) < F.lit(span if total <= wanted else span * wanted // total)
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Batches of sorted rows cut anew so that rows with equal keys come in one frame. Keys are whole numbers."""
+    rest: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = batch[keys].to_numpy()
+        if rest and (rest[-1][keys].to_numpy()[-1] != key[0]).any():
+            yield pd.concat(rest, ignore_index=True)
+            rest = []
+        other = np.flatnonzero((key != key[-1]).any(axis=1))
+        if len(other):
+            yield pd.concat([*rest, batch.iloc[: other[-1] + 1]], ignore_index=True)
+            rest = []
+        rest.append(batch.iloc[other[-1] + 1 :] if len(other) else batch)
+    if rest:
+        yield pd.concat(rest, ignore_index=True)

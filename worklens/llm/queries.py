@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worklens.llm import chat, decontam, exact_dedup, langid, line_dedup, packing, pii, simhash, toxicity, warc
+from worklens.llm import chat, decontam, exact_dedup, langid, line_dedup, merkle, packing, periodic, pii, sharding, simhash, toxicity, warc
 from worklens.llm.common import table
 
 
@@ -58,14 +58,88 @@ def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_formatting, op3_packing, op4_exact_dedup, op5_personal_data, op6_toxicity, op7_decontamination, op8_warc, op9_language_id, op10_line_dedup)}
+def op11_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    shards = sharding.assignments(table(spark, sf, "documents"))
+    return shards.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    out = merkle.verified(merkle.document_manifest(table(spark, sf, "documents")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_periodic(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic.digests(periodic.planted(table(spark, sf, "documents")))
+
+
+_ALL = (
+    op1_simhash, op2_chat_formatting, op3_packing, op4_exact_dedup, op5_personal_data, op6_toxicity, op7_decontamination,
+    op8_warc, op9_language_id, op10_line_dedup, op11_sharding, op12_merkle, op13_periodic,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
 _ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')"
 
+#: Unsigned CRC-32 of the id's digits, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+
+
+def _merkle_sql(levels: int = 20) -> str:
+    """A table expression per level: each has the digests of its level as a list, and every leaf climbs with its proof."""
+    field = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+    leaf = "sha256(" + " || ".join(field.format(f) for f in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+    changed = leaf.replace("n_chars", "(n_chars + 1)")
+
+    def climb(name: str, key: str, place: str) -> str:
+        """``name``_0 has ``key``, l (digests) and leaves ``name``_leaf_0 have ``key``, ``place``, f (folded so far), proof."""
+        out = []
+        for j in range(levels):
+            up = "list_transform(range(0, (len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], '')))"
+            out.append(f"{name}_{j + 1} AS MATERIALIZED (SELECT {key}, CASE WHEN len(l) > 1 THEN {up} ELSE l END AS l FROM {name}_{j})")
+            side = f"({place} >> {j}) & 1 = 1"
+            met = f"(SELECT e.*, len(l) > 1 AS open, coalesce(l[xor({place} >> {j}, 1) + 1], '') AS s FROM {name}_leaf_{j} e JOIN {name}_{j} USING ({key}))"
+            out.append(f"""{name}_leaf_{j + 1} AS MATERIALIZED (SELECT * EXCLUDE (f, proof, open, s), CASE WHEN NOT open THEN f WHEN {side} THEN sha256(s || f) ELSE sha256(f || s) END AS f,
+                        CASE WHEN open THEN proof || s ELSE proof END AS proof FROM {met})""")
+        return ", ".join(out)
+
+    return f"""
+        WITH x AS (SELECT doc_id, lang, {leaf} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {changed} ELSE {leaf} END AS f FROM documents),
+        trees AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT lang FROM x)),
+        d_leaf_0 AS MATERIALIZED (SELECT doc_id, leaf, f, '' AS proof, tree, 0 AS one, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+                                  FROM x JOIN trees ON x.lang IS NOT DISTINCT FROM trees.lang),
+        d_0 AS (SELECT tree, list(leaf ORDER BY pos) AS l FROM d_leaf_0 GROUP BY tree),
+        {climb("d", "tree", "pos")},
+        t_0 AS MATERIALIZED (SELECT 0 AS one, list(l[1] ORDER BY tree) AS l FROM d_{levels}),
+        t_leaf_0 AS MATERIALIZED (SELECT e.*, l[1] AS subroot FROM d_leaf_{levels} e JOIN d_{levels} USING (tree)),
+        {climb("t", "one", "tree")}
+        SELECT doc_id, leaf, subroot, l[1] AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = l[1] AS verified
+        FROM t_leaf_{levels} JOIN t_{levels} USING (one)"""
+
+
 ORACLES = {
+    "op12_merkle": _merkle_sql(),
+    "op13_periodic": rf"""
+        WITH x AS (SELECT doc_id, {_CRC} AS h, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        y AS (SELECT *, len(w) AS n, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a, 1 + (len(w) - (h // 10) % greatest(len(w), 1)) // (3 + (h // 10) % 8) AS p FROM x),
+        z AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM y),
+        gram AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 6], ' ') AS six FROM (SELECT *, unnest(range(len(w) - 5)) AS i FROM z)),
+        pair AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM gram a JOIN gram b ON a.doc_id = b.doc_id AND a.six = b.six AND a.i < b.i),
+        island AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pair),
+        stretch AS (SELECT doc_id, q, min(i) AS s, max(i) - min(i) + 6 + q AS len FROM island GROUP BY doc_id, q, island),
+        run AS (SELECT doc_id, s, len, min(q) AS q FROM stretch WHERE len >= greatest(12, 2 * q) GROUP BY doc_id, s, len),
+        best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, s, q) = 1),
+        runs AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q)) AS digest FROM run GROUP BY doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM run),
+        word AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM z),
+        kept AS (SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY i)) AS digest FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT z.doc_id, coalesce(n_runs, 0) AS n_runs, s AS "start", len AS "length", q AS period, 1000 * len // q AS exponent_milli,
+               coalesce(runs.digest, sha256('')) AS runs_sha256, coalesce(kept.digest, sha256('')) AS collapsed_sha256
+        FROM z LEFT JOIN best USING (doc_id) LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op2_chat_formatting": rf"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL VALUES (-1, 0, 'user', '{CONTROL_TEXT}'), (-1, 1, 'assistant', '{CONTROL_TEXT}')),
