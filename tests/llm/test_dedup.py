@@ -128,7 +128,7 @@ def test_line_dedup_against_brute_force(spark, monkeypatch):
             lines.append(" ".join(line))
         rows.append((i, "\n".join(lines)))
     rows.append((60, None))
-    monkeypatch.setattr(line_dedup, "HEADS", 2)  # most matches must be found in the second turn
+    monkeypatch.setattr(line_dedup, "CELL", 3)  # nearly every word is cut into cells
     got = {r.doc_id: r.text for r in line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_lines(rows)
     assert any(len(got[i]) < len(t or "") for i, t in rows)
@@ -144,3 +144,38 @@ def test_line_dedup_awkward_rows(spark):
     assert [r.n_removed for r in by_id[6]] == [0, 0] and by_id[4][0].n_lines == 1 and by_id[8][0].n_removed == 0
     assert by_id[None][0].n_removed == 0
     assert line_dedup.deduplicate_lines(documents(spark, [])).count() == 0
+
+
+def test_line_dedup_judges_texts_of_one_id_apart(spark):
+    rows = [(1, "alpha beta gamma"), (2, "zeta eta theta\nfoo bar baz"), (2, "alpha beta gamma\nquux corge grault")]
+    got = {(r.doc_id, r.text) for r in line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "alpha beta gamma"), (2, "zeta eta theta\nfoo bar baz"), (2, "quux corge grault")}
+
+
+def test_line_candidates_grow_in_proportion(spark):
+    """Unlike lines that share many words: signatures keep them apart, however many share a word."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    counts = []
+    for n in (500, 2000):
+        docs = spark.createDataFrame([(i, " ".join(rng.sample(words, 8))) for i in range(n)], "doc_id long, text string")
+        lines = line_dedup.line_sets(docs, line_dedup.rarity(docs))
+        postings = line_dedup.shared_words(lines).withColumn("open", line_dedup.F.lit(True))
+        counts.append(line_dedup.candidates(postings, None, line_dedup.CELL).count())
+    assert counts[0] < 500 and counts[1] < 16 * max(counts[0], 20)
+
+
+def test_line_families_settle_in_the_first_turn(spark):
+    """Variants of one line: a candidate each, not one for every pair."""
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(400):
+        line = list(base)
+        line[rng.randrange(40)] = f"x{i}"
+        rows.append((i, " ".join(line)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = line_dedup.line_sets(docs, line_dedup.rarity(docs))
+    postings = line_dedup.shared_words(lines).withColumn("open", line_dedup.F.lit(True))
+    assert line_dedup.candidates(postings, 1, line_dedup.CELL).count() < 400 * 10
+    assert sum(r.n_removed for r in line_dedup.deduplicate_lines(docs).collect()) == 399

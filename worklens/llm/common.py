@@ -66,3 +66,23 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[p
         rest.append(batch.iloc[other[-1] + 1 :] if len(other) else batch)
     if rest:
         yield pd.concat(rest, ignore_index=True)
+
+
+def find(rows: DataFrame, keys: list[str], groups: DataFrame, over: int, into: str) -> DataFrame:
+    """The rows with their group as the struct ``into``, null if they have none.
+
+    ``groups`` has the keys, ``n``, the number of rows of each, and what else is wanted. Groups of more than ``over`` rows must be few;
+    they are broadcast, and their rows go anywhere in the exchange, so a group with a third of all rows meets in no task.
+    """
+    hit, rest, salt = fresh(rows, into, "rest_of_group", "group_salt")
+
+    def named(part: DataFrame, name: str) -> DataFrame:
+        return part.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.struct(*part.columns).alias(name))
+
+    large = F.broadcast(named(groups.where(F.col("n") > over), hit))
+    rows = rows.join(large, [F.col(k) == F.col(f"{hit}_{k}") for k in keys], "left").drop(*[f"{hit}_{k}" for k in keys])
+    rows = rows.withColumn(salt, F.when(F.col(hit).isNull(), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id()))
+    other = named(groups.where(F.col("n") <= over), rest).withColumn(f"{rest}_salt", F.lit(-1).cast("long"))
+    same = [F.col(salt) == F.col(f"{rest}_salt"), *[F.col(k) == F.col(f"{rest}_{k}") for k in keys]]
+    rows = rows.join(other, same, "left").drop(salt, f"{rest}_salt", *[f"{rest}_{k}" for k in keys])
+    return rows.withColumn(hit, F.coalesce(hit, rest)).drop(rest)

@@ -80,6 +80,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     repeated items count once. Repeated document rows give repeated results; other columns are ignored; empty tables give no
     rows and no hits.
     """
+    return _judged(docs, benchmark).drop("digest")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The result, with each text's digest."""
     items = settle(benchmark.select("item_id", words().alias("words")).where("size(words) > 0"), "benchmark-words")
     # At most WINDOW_WORDS - 1 lengths.
     short = sorted(r[0] for r in items.where(F.size("words") < WINDOW_WORDS).select(F.size("words")).distinct().collect())
@@ -133,6 +138,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_hit, listed = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         "doc_id",
+        "digest",
         "n_words",
         n_hit.alias("n_hit"),
         F.size(listed).cast("long").alias("n_items"),
@@ -142,8 +148,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns. ``doc_id`` names a document; rows without one stay."""
-    gone = contamination(docs, benchmark).where("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct()
-    (own,) = fresh(docs, "contaminated_id")
-    gone = gone.withColumnRenamed("doc_id", own)
-    return docs.join(gone, docs["doc_id"] == gone[own], "left_anti")
+    """The documents that aren't contaminated, with all their columns; rows without an id stay.
+
+    A row is judged by its own text, also where its id is repeated. Null and wordless texts stay. Without benchmark items all stay.
+    """
+    own, digest = fresh(docs, "contaminated_id", "contaminated_text")
+    gone = _judged(docs, benchmark).where("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias(own), F.col("digest").alias(digest)).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone[own]) & (F.sha2(whole_text(), 256) == gone[digest]), "left_anti")

@@ -1,24 +1,26 @@
 """Exact duplicates by skew-safe combining, in DataFrame operations only.
 
-Equal texts meet in three steps: each task combines its own copies before the exchange, copies of a text are dealt by
+Digests are counted first, on narrow rows. A text whose digest occurs once has no company, so only texts of repeated digests
+travel. They meet in three steps: each task combines its own copies before the exchange, copies of a text are dealt by
 (digest, salt) so that a text with a third of all rows is spread over ``SALTS`` groups, and the winners of the salts, at
 most ``SALTS`` rows a text, are combined globally. Every step groups by the whole text next to its digest, so two texts
 with one digest stay apart.
+
+Rows find their group by digest. Groups of more than a thousandth of all rows, at most a thousand, are broadcast, and their
+rows are dealt anywhere; others are joined, by shuffle where they are many.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worklens.llm.common import ascii_lower, fresh, whole_text
+from worklens.llm.common import ascii_lower, find, fresh, whole_text
+from worklens.sources.staging import settle
 
-#: Salts of one text. They fit a long as a bit set.
 SALTS = 63
-
-
-def _salt() -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+#: A group is large if it has more than one in this many of all rows; so many groups are large at most.
+LARGE = 1000
 
 
 def salt_winners(texts: DataFrame) -> DataFrame:
@@ -27,36 +29,41 @@ def salt_winners(texts: DataFrame) -> DataFrame:
 
 
 def combine(winners: DataFrame) -> DataFrame:
-    """One row per text: digest, text, keep_id, group_size and the set of its salts."""
-    return winners.groupBy("digest", "text").agg(
-        F.max("keep_id").alias("keep_id"),
-        F.sum("n").alias("group_size"),
-        F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"),
-    )
+    """One row per text: digest, text, keep_id, group_size."""
+    return winners.groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
 
 
-def text_groups(docs: DataFrame) -> DataFrame:
-    """One row per text and salt in use: digest, second, salt, keep_id, group_size.
+def _keys(low: Column) -> Column:
+    """Digest and second hash of a text."""
+    return F.struct(F.unhex(F.sha2(low, 256)).alias("digest"), F.xxhash64(low).alias("second"))
 
-    Rows find their group by digest and a second hash, so that the text needn't travel once more; should two texts ever share
-    both, the query ends with an error instead of a wrong group.
-    """
+
+def _digests(docs: DataFrame) -> DataFrame:
     low = ascii_lower(whole_text())
-    per_text = combine(salt_winners(docs.select("doc_id", low.alias("text"), F.sha2(low, 256).alias("digest"), _salt().alias("salt"))))
-    groups = per_text.groupBy("digest", F.xxhash64("text").alias("second")).agg(
-        F.count(F.lit(1)).alias("texts"),
-        F.max("keep_id").alias("keep_id"),
-        F.sum("group_size").alias("group_size"),
-        F.bit_or("salts").alias("salts"),
-    )
-    size = F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share both digests")).cast("long"))
-    each_salt = F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> getbit(salts, s) = 1)"))
-    return groups.select("digest", "second", each_salt.alias("salt"), "keep_id", size.alias("group_size"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("written"), _keys(low).alias("key"), F.monotonically_increasing_id().alias("number"))
+    return settle(rows, "digests")
 
 
-def _keys(digest: str, second: str, salt: str) -> dict[str, Column]:
+def repeated_texts(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """One row per text that occurs twice or more: key, n, keep_id, keep_written, ties (rows with both of these) and
+    keep_number, one of the ties."""
+    rows = digests.groupBy("key", "doc_id", "written").agg(F.count(F.lit(1)).alias("m"), F.min("number").alias("number"))
+    # Of equal ids the row whose text as written hashes lowest.
+    best = F.max(F.struct("doc_id", F.bitwise_not("written").alias("unwritten"), F.col("m").alias("ties"), "number"))
+    narrow = rows.groupBy("key").agg(F.sum("m").alias("n"), best.alias("best")).where("n > 1")
+    narrow = settle(narrow, "repeated-digests")
+
     low = ascii_lower(whole_text())
-    return {digest: F.sha2(low, 256), second: F.xxhash64(low), salt: _salt()}
+    texts = docs.select("doc_id", low.alias("text"), _keys(low).alias("key"), F.monotonically_increasing_id().alias("number"))
+    texts = find(texts, ["key"], narrow, max(digests.count() // LARGE, 1), "found").where("found IS NOT NULL")
+    salt = F.pmod(F.xxhash64("number"), F.lit(SALTS)).cast("int").alias("salt")
+    whole = combine(salt_winners(texts.select("doc_id", "text", F.col("key").alias("digest"), salt)))
+    whole = whole.groupBy(F.col("digest").alias("key")).agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("size"))
+    size = F.when(F.col("texts") == 1, F.col("size")).otherwise(F.raise_error(F.lit("two texts share both digests")).cast("long"))
+    out = narrow.join(whole, "key").select(
+        "key", size.alias("n"), "keep_id", F.bitwise_not("best.unwritten").alias("keep_written"), F.col("best.ties").alias("ties"), F.col("best.number").alias("keep_number")
+    )
+    return settle(out, "repeated-texts")
 
 
 def assignments(docs: DataFrame) -> DataFrame:
@@ -64,21 +71,42 @@ def assignments(docs: DataFrame) -> DataFrame:
 
     Texts are equal when identical after lower-casing A-Z; the largest id of equal texts stays. A null text counts as
     empty. Rows with a null id are members too and are kept only if no equal text has an id. If the row that stays is
-    repeated (same id, equal text), one of the repetitions is kept, the one whose text as written hashes lowest. Other
+    repeated (same id, equal text), one of the repetitions is kept, the one whose text as written hashes lowest. Should two
+    texts ever share both a SHA-256 and a second hash, the query ends with an error instead of a wrong group. Other
     columns are ignored. An empty table gives no rows.
     """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("written"), *[c.alias(n) for n, c in _keys("digest", "second", "salt").items()])
-    out = rows.join(text_groups(docs), ["digest", "second", "salt"])
-    first = F.row_number().over(Window.partitionBy("digest", "second", "salt", "doc_id").orderBy("written")) == 1
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & first
-    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
+    digests = _digests(docs)
+    out = find(digests, ["key"], repeated_texts(docs, digests), max(digests.count() // LARGE, 1), "found")
+    alone = F.col("found").isNull()
+    return out.select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("found.keep_id")).alias("keep_id"),
+        F.coalesce("found.n", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("number") == F.col("found.keep_number"))).alias("kept"),
+        F.lower(F.hex("key.digest")).alias("text_sha256"),
+    )
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents that ``assignments`` keeps, with all their columns."""
-    digest, second, salt, keep_id, rank = fresh(docs, "text_digest", "text_second", "text_salt", "text_keep", "text_rank")
-    groups = text_groups(docs).select(F.col("digest").alias(digest), F.col("second").alias(second), F.col("salt").alias(salt), F.col("keep_id").alias(keep_id))
-    kept = docs.withColumns(_keys(digest, second, salt)).join(groups, [digest, second, salt]).where(F.col("doc_id").eqNullSafe(F.col(keep_id)))
-    order = Window.partitionBy(digest, second, salt, "doc_id").orderBy(F.xxhash64("text"))
-    kept = kept.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that ``assignments`` keeps, with all their columns.
+
+    Null texts count as empty, so one of all null and empty texts stays; rows without an id go if an equal text has one;
+    of rows that repeat id and text one stays, any if only other columns differ. Columns of any name are kept as they
+    are; an empty table gives an empty table.
+    """
+    digests = _digests(docs)
+    groups = repeated_texts(docs, digests)
+    key, number, found, salt, doc = fresh(docs, "text_key", "text_number", "text_group", "text_salt", "doc")
+    low = ascii_lower(whole_text())
+    rows = docs.withColumns({key: _keys(low), number: F.monotonically_increasing_id()})
+    rows = find(rows, [key], groups.withColumnRenamed("key", key), max(digests.count() // LARGE, 1), found)
+    own = F.col("doc_id").eqNullSafe(F.col(found)["keep_id"]) & (F.xxhash64("text") == F.col(found)["keep_written"])
+    rows = rows.where(F.col(found).isNull() | own)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if groups.where("ties > 1").isEmpty():
+        return rows.select(*columns)
+    # Repetitions of the row that stays: one of them by salt, then one of all.
+    once = F.col(found).isNull() | (F.col(found)["ties"] == 1)
+    more = rows.where(~once).select(F.col(key).alias(key), F.pmod(F.xxhash64(number), F.lit(SALTS)).alias(salt), F.struct(*columns).alias(doc))
+    more = more.groupBy(key, salt).agg(F.any_value(doc).alias(doc)).groupBy(key).agg(F.any_value(doc).alias(doc))
+    return rows.where(once).select(*columns).unionByName(more.select(*[F.col(doc)[c].alias(c) for c in docs.columns]))

@@ -67,15 +67,16 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS, chunk: int
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long). Whole texts; a null text has no words."""
+    """doc_id, written (a hash of the text as it is), fp (the fingerprint as a signed long). Whole texts; a null text has no words."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = np.array([fingerprint(t, shingle_words) for t in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "written": batch["written"], "fp": fps.view(np.int64)})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(hashed, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("written"), text.alias("text"))
+    return rows.mapInPandas(hashed, "doc_id long, written long, fp long")
 
 
 def root_masks(max_bits: int = MAX_BITS) -> list[int]:
@@ -211,6 +212,15 @@ def links(reps: DataFrame, max_bits: int = MAX_BITS, root_rows: int = ROOT_ROWS)
     return rows.select(*unit, "fp", "rep", "stored", "asks").mapInPandas(search, "u long, v long")
 
 
+def _classes(docs: DataFrame, shingle_words: int, max_bits: int) -> DataFrame:
+    """One row per document: doc_id, written, fp, component_id."""
+    fps = settle(fingerprints(docs, shingle_words), "fingerprints")
+    reps = settle(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    roots = components(links(reps, max_bits))
+    classes = reps.join(roots, reps["rep"] == roots["u"], "left").select("fp", F.coalesce("v", "rep").alias("component_id"))
+    return fps.join(classes, "fp", "left")
+
+
 def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id it reaches).
 
@@ -219,17 +229,17 @@ def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: i
     fingerprint, and it links nothing. Repeated rows give repeated results; other columns are ignored; an empty table gives
     no rows.
     """
-    fps = settle(fingerprints(docs, shingle_words), "fingerprints")
-    reps = settle(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    roots = components(links(reps, max_bits))
-    classes = reps.join(roots, reps["rep"] == roots["u"], "left").select("fp", F.coalesce("v", "rep").alias("component_id"))
-    out = fps.join(classes, "fp", "left")
+    out = _classes(docs, shingle_words, max_bits)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents whose id is the smallest of their component; rows without an id stay. ``doc_id`` names a document."""
-    gone = near_groups(docs, shingle_words, max_bits).where("doc_id <> component_id").select("doc_id").distinct()
-    (own,) = fresh(docs, "near_copy_id")
-    gone = gone.withColumnRenamed("doc_id", own)
-    return docs.join(gone, docs["doc_id"] == gone[own], "left_anti")
+    """The documents whose id is the smallest of their component, with all their columns; rows without an id stay.
+
+    A row is judged by its own text: where an id is repeated with different texts, each row goes or stays on its own. Null and
+    wordless texts are near copies of each other, so one of them stays. An empty table gives an empty table.
+    """
+    own, written = fresh(docs, "near_copy_id", "near_copy_text")
+    gone = _classes(docs, shingle_words, max_bits).where("doc_id <> component_id").select(F.col("doc_id").alias(own), F.col("written").alias(written)).distinct()
+    text = F.xxhash64(F.col("text").cast("string"))
+    return docs.join(gone, (docs["doc_id"] == gone[own]) & (text == gone[written]), "left_anti")

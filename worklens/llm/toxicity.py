@@ -254,7 +254,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that aren't predicted toxic, with all their columns."""
+    """The documents that aren't predicted toxic, with all their columns.
+
+    Null, empty and letterless texts stay; rows that repeat an id are judged each by its own text; without labels of both kinds
+    all have the score of the only kind, and an empty table gives an empty table.
+    """
     model = train(docs, labels)
     judged = F.pandas_udf(lambda texts: pd.Series(model.probability(texts.tolist()) >= 0.5), "boolean")
     return docs.where(~judged(F.col("text").cast("string")))
