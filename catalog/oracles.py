@@ -225,6 +225,10 @@ def _text_steps(name: str, source: str) -> None:
         SELECT cleaned, sum(w) / (SELECT count(*) FROM {n}_vocab) AS tfidf_mean, max(w) AS tfidf_max FROM {n}_w GROUP BY ALL"""
     STEPS[f"{n}_member"] = f"SELECT block, cleaned, count(*) AS copies, min(work_id) AS first_id FROM {n}_clean GROUP BY ALL"
     STEPS[f"{n}_bw"] = f"SELECT block, cleaned, term, w FROM {n}_member JOIN {n}_w USING (cleaned)"
+    STEPS[f"{n}_named"] = f"SELECT cleaned, string_agg(term || ':' || tf, ',' ORDER BY term) AS vector FROM {n}_tf JOIN {n}_vocab USING (term) GROUP BY cleaned"
+    STEPS[f"{n}_vector"] = f"""
+        SELECT block, cleaned, vector, min(first_id) OVER g AS head, sum(copies) OVER g AS copies
+        FROM {n}_member JOIN {n}_named USING (cleaned) WINDOW g AS (PARTITION BY block, vector)"""
     STEPS[f"{n}_sim"] = f"""
         SELECT a.block, a.cleaned AS c1, b.cleaned AS c2, sum(a.w * b.w) AS score
         FROM {n}_bw a JOIN {n}_bw b ON a.block = b.block AND a.term = b.term AND a.cleaned < b.cleaned GROUP BY ALL"""

@@ -46,11 +46,13 @@ def dot(a, b):
     return sum(x * b.get(t, 0.0) for t, x in a.items())
 
 
-@pytest.mark.parametrize("cut", [1, 3, 1000])
-def test_nearest_and_counts_match_brute_force(works, cut):
+@pytest.mark.parametrize("cell", [1, 7, 4096])
+def test_nearest_and_counts_match_brute_force(works, cell, monkeypatch):
     rows, df = works
+    monkeypatch.setattr(similarity, "CELL", cell)
+    monkeypatch.setattr(similarity, "PROBES", 3 * cell)
     v, place = brute(rows), {r[0]: r[2] for r in rows}
-    got = {r["work_id"]: r for r in text.with_text(df, Params(hot_postings=cut)).collect()}
+    got = {r["work_id"]: r for r in text.with_text(df).collect()}
     for i in v:
         sims = [dot(v[i], v[j]) for j in v if j != i and place[i] == place[j]]
         assert got[i]["nearest_similarity_score"] == pytest.approx(max(sims, default=0.0), abs=1e-9), (i, rows[i])
@@ -79,26 +81,27 @@ def test_pairs_of_asked_works(spark, works):
     assert got == {(i, j) for i in asked for j in v if i != j and place[i] == place[j] and dot(v[i], v[j]) >= 0.85 - 1e-12}
 
 
-@pytest.mark.parametrize("cut", [1, 4, 1000])
-def test_top_matches_of_new_texts(spark, works, cut):
+@pytest.mark.parametrize("cell", [2, 9, 4096])
+def test_top_matches_of_new_texts(spark, works, cell, monkeypatch):
+    """Always k rows: where fewer works share a term, the lowest ids with score 0 follow."""
     rows, df = works
+    monkeypatch.setattr(similarity, "CELL", cell)
     v = brute(rows)
     idf_docs = rows
     new = [(1, "construction of road w1"), (2, "hall school drain"), (3, "unknown thing"), (4, "construction")]
     corpus = text.build_corpus(df)
-    p = Params(hot_postings=cut)
     from worklens.plans import screening
 
     shown = df.selectExpr("*", "'c' as category", "1.0D as effective_amount")
     proposals = spark.createDataFrame(new, "proposal_id long, work_description string")
-    got = screening.similar_matches(proposals, corpus, shown, 5, p).collect()
+    got = screening.similar_matches(proposals, corpus, shown, 5).collect()
     df_count = Counter(t for r in idf_docs for t in _terms(r[4]))
     idf = {t: math.log((1 + len(rows)) / (1 + n)) + 1 for t, n in df_count.items() if n >= 2}
     for pid, t in new:
         raw = {k: n * idf[k] for k, n in _terms(t).items() if k in idf}
         norm = math.sqrt(sum(x * x for x in raw.values())) or 1.0
         q = {k: x / norm for k, x in raw.items()}
-        ranked = sorted(((-round(dot(q, v[i]), 9), i) for i in v if dot(q, v[i]) > 0))[:5]
+        ranked = sorted((-round(dot(q, v[i]), 9), i) for i in v)[:5]
         mine = sorted(((r["rank"], r["work_id"]) for r in got if r["proposal_id"] == pid))
         assert [w for _, w in mine] == [i for _, i in ranked], (pid, t)
 

@@ -1,175 +1,239 @@
-"""Exact cosine matching of term vectors without comparing all pairs of a group.
-
-* ``best_matches``: the k most similar base vectors per probe vector. Terms whose posting list inside
-  a block stays under a cut are joined directly, which bounds the work by cut x postings. Longer lists
-  are never joined list by list: what the frequent terms can add is bounded by the norm of their part
-  (Cauchy-Schwarz), candidates that may still win are completed exactly, and matches that share only
-  frequent terms are found among the distinct patterns of frequent terms.
-* ``pairs_above``: all pairs at or above a threshold, by prefix filtering (Bayardo et al., 2007):
-  two vectors that reach it must share one of their rare leading terms.
+"""Exact cosine matching of term vectors by cells with impact bounds, without comparing all pairs of a group.
+
+The base vectors of a block are dealt into cells of about ``CELL`` vectors whose heaviest terms are alike; a cell that
+is a whole block is the usual case. A cell is an inverted index, and the largest weight of each of its terms bounds what it
+can give a probe: the sum over the probe's terms of weight times largest weight. A probe is sent to the cell with the highest bound
+first, which gives it a floor, its k-th best score so far, and then to those cells only whose bound reaches the floor.
+
+Inside a cell a probe goes through its terms from rare to frequent. Once what the remaining terms can add, the smaller of
+their bound and of the norm of the probe's rest, stays below the floor, no new match can come up: only matches found so far that
+can still reach the floor are completed, from their own terms. With a fixed floor, a threshold, this is a join by
+rare leading terms; with a floor of 0 all terms are added up. Probes of a cell are dealt in parts of ``PROBES``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worklens.functions.scalars import rounded
-from worklens.operators.vectors import text_key
 from worklens.sources.staging import settle
 
-
-def postings(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per term of a vector: unscaled weight and scaled weight."""
-    return vectors.select(*keys, "norm", F.explode("terms").alias("x")).select(
-        *keys, F.col("x.t").alias("t"), F.col("x.raw").alias("raw"), (F.col("x.raw") / F.col("norm")).alias("w")
-    )
-
-
-def _top(df: DataFrame, group: list[str], score: str, tie: str, k: int) -> DataFrame:
-    """First k per group. The filter on the row number lets Spark cut each task's rows before the shuffle."""
-    order = Window.partitionBy(*group).orderBy(F.desc(rounded(F.col(score), 9)), tie)
-    return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def best_matches(probe: DataFrame, base: DataFrame, block: str, k: int, cut: int, exclude_self: bool) -> DataFrame:
-    """Rows (block, q, d, score, rank). ``probe`` has (block, q, terms, norm), ``base`` (block, d, terms, norm)."""
-    q_post = settle(postings(probe, [block, "q"]), "probe-postings")
-    d_post = settle(postings(base, [block, "d"]), "base-postings")
-    hot = settle(
-        d_post.groupBy(block, "t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > cut).select(block, "t"), "hot-terms"
-    )
-    no_hot = hot.isEmpty()
-    q_cold = q_post if no_hot else q_post.join(hot, [block, "t"], "left_anti")
-    d_cold = d_post if no_hot else d_post.join(hot, [block, "t"], "left_anti")
-
-    shared = q_cold.select(block, "t", "q", F.col("w").alias("wq")).join(
-        d_cold.select(block, "t", "d", F.col("w").alias("wd")), [block, "t"]
-    )
-    if exclude_self:
-        shared = shared.where(F.col("q") != F.col("d"))
-    cold = shared.groupBy(block, "q", "d").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
-    if no_hot:
-        return _top(cold, [block, "q"], "score", "d", k)
-
-    # Complete the candidates that the frequent terms may still lift into the first k.
-    cold = settle(cold, "cold-candidates")
-    q_hot = settle(q_post.join(hot, [block, "t"], "left_semi"), "probe-hot")
-    d_hot = settle(d_post.join(hot, [block, "t"], "left_semi"), "base-hot")
-    q_norm = q_hot.groupBy(block, "q").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("hq"))
-    d_norm = d_hot.groupBy(block, "d").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("hd"))
-    floor_of = (
-        _top(cold, [block, "q"], "score", "d", k)
-        .groupBy(block, "q")
-        .agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(0.0).alias("floor"))
-    )
-    slack = 1e-9
-    may_win = (
-        cold.join(q_norm, [block, "q"])
-        .join(d_norm, [block, "d"])
-        .join(floor_of, [block, "q"])
-        .where(F.col("score") + F.col("hq") * F.col("hd") + slack >= F.col("floor"))
-        .select(block, "q", "d")
-    )
-    added = (
-        may_win.join(q_hot.select(block, "q", "t", F.col("w").alias("wq")), [block, "q"])
-        .join(d_hot.select(block, "d", "t", F.col("w").alias("wd")), [block, "d", "t"])
-        .groupBy(block, "q", "d")
-        .agg(F.sum(F.col("wq") * F.col("wd")).alias("added"))
-    )
-    full = settle(
-        cold.join(added, [block, "q", "d"], "left").select(
-            block, "q", "d", (F.col("score") + F.coalesce("added", F.lit(0.0))).alias("score")
-        ),
-        "completed",
-    )
-
-    # Probes whose frequent part alone could beat what they have: match patterns of frequent terms.
-    reached = (
-        _top(full, [block, "q"], "score", "d", k)
-        .groupBy(block, "q")
-        .agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(0.0).alias("floor"))
-    )
-    strongest = d_norm.groupBy(block).agg(F.max("hd").alias("hmax"))
-    open_probes = (
-        q_norm.join(strongest, block)
-        .join(reached, [block, "q"], "left")
-        .where(F.col("hq") * F.col("hmax") + slack >= F.coalesce("floor", F.lit(0.0)))
-        .select(block, "q")
-    )
-    d_pattern = _patterns(d_hot, block, "d")
-    q_pattern = _patterns(q_hot.join(open_probes, [block, "q"], "left_semi"), block, "q")
-    leaders = _top(d_pattern.drop("hot"), [block, "pattern"], "scale", "d", k + int(exclude_self)).drop("rank")
-    d_terms = _pattern_terms(d_pattern, block).select(block, "t", F.col("pattern").alias("dp"), F.col("raw").alias("rd"))
-    q_terms = _pattern_terms(q_pattern, block).select(block, "t", F.col("pattern").alias("qp"), F.col("raw").alias("rq"))
-    dots = q_terms.join(d_terms, [block, "t"]).groupBy(block, "qp", "dp").agg(F.sum(F.col("rq") * F.col("rd")).alias("dot"))
-    per_pattern = _top(
-        dots.join(leaders.withColumnRenamed("pattern", "dp"), [block, "dp"]).withColumn("part", F.col("dot") * F.col("scale")),
-        [block, "qp"], "part", "d", k + int(exclude_self),
-    ).select(block, "qp", "d", "part")
-    frequent_only = q_pattern.select(block, "q", F.col("pattern").alias("qp"), F.col("scale").alias("sq")).join(
-        per_pattern, [block, "qp"]
-    )
-    if exclude_self:
-        frequent_only = frequent_only.where(F.col("q") != F.col("d"))
-    every = full.unionByName(frequent_only.select(block, "q", "d", (F.col("sq") * F.col("part")).alias("score")))
-    merged = every.groupBy(block, "q", "d").agg(F.max("score").alias("score"))
-    return _top(merged, [block, "q"], "score", "d", k)
-
-
-def _patterns(hot_postings: DataFrame, block: str, member: str) -> DataFrame:
-    """Per member: its frequent terms with unscaled weights, their fingerprint, and 1/norm as scale."""
-    return (
-        hot_postings.groupBy(block, member)
-        .agg(F.sort_array(F.collect_list(F.struct("t", "raw"))).alias("hot"), F.max(F.col("w") / F.col("raw")).alias("scale"))
-        .withColumn("pattern", text_key(F.to_json("hot")))
-    )
-
-
-def _pattern_terms(patterns: DataFrame, block: str) -> DataFrame:
-    one = patterns.groupBy(block, "pattern").agg(F.any_value("hot").alias("hot"))
-    return one.select(block, "pattern", F.inline("hot"))
-
-
-def leading_terms(vectors: DataFrame, key: str, threshold: float) -> DataFrame:
-    """The rare leading terms of each vector: those before the point where the rest has norm < threshold."""
-    rest = Window.partitionBy(key).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = postings(vectors, [key]).withColumn("_rest", F.sum(F.col("w") * F.col("w")).over(rest))
-    return rows.where(F.col("_rest") >= threshold * threshold - 1e-9).select(key, "t")
-
-
-def pairs_above(members: DataFrame, vectors: DataFrame, block: str, threshold: float) -> DataFrame:
+# Ship this module's functions to the workers themselves, so that workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Vectors of a cell, about, and probes that are looked up in a copy of it.
+CELL = 4096
+PROBES = 16_384
+SLACK = 1e-9
+
+
+class CellIndex:
+    """An inverted index over the vectors of a cell: ids, tie keys, and terms with weights, one vector after the other."""
+
+    def __init__(self, ids: np.ndarray, ties: np.ndarray, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray):
+        self.ids, self.ties, self.weights = ids, ties, weights
+        self.row_at = np.concatenate([[0], np.cumsum(sizes)])
+        self.terms, slot = np.unique(terms, return_inverse=True)
+        self.slot = slot
+        order = np.argsort(slot, kind="stable")
+        self.post_at = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=len(self.terms)))])
+        self.post_row = np.repeat(np.arange(len(sizes)), sizes)[order]
+        self.post_weight = weights[order]
+        self.most = np.maximum.reduceat(self.post_weight, self.post_at[:-1]) if len(terms) else np.zeros(0)
+        self.asked = np.zeros(len(self.terms))
+
+    @staticmethod
+    def _spans(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers inside the given spans one after the other, and their sizes."""
+        sizes = at[which + 1] - at[which]
+        return np.repeat(at[which] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum()), sizes
+
+    def scores(self, terms: np.ndarray, weights: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, score) of all rows that share a term with the probe and score at least ``floor``. Terms ascend, rare first."""
+        slot = np.searchsorted(self.terms, terms)
+        known = np.flatnonzero(slot < len(self.terms))
+        known = known[self.terms[slot[known]] == terms[known]]
+        slot, weights = slot[known], weights[known]
+        if not len(slot):
+            return slot, weights
+        # What the terms from each place on can add at most.
+        bound = np.minimum(np.cumsum((weights * self.most[slot])[::-1])[::-1], np.sqrt(np.cumsum((weights * weights)[::-1])[::-1]))
+        needed = int(np.searchsorted(-bound, -(floor - SLACK), side="right")) if floor > 0 else len(slot)
+        at, sizes = self._spans(self.post_at, slot[:needed])
+        found = np.bincount(self.post_row[at], np.repeat(weights[:needed], sizes) * self.post_weight[at], minlength=len(self.ids))
+        rest = bound[needed] if needed < len(slot) else 0.0
+        rows = np.flatnonzero((found > 0) & (found + rest >= floor - SLACK))
+        score = found[rows]
+        if needed < len(slot) and len(rows):
+            self.asked[slot[needed:]] = weights[needed:]
+            at, sizes = self._spans(self.row_at, rows)
+            score = score + np.bincount(np.repeat(np.arange(len(rows)), sizes), self.asked[self.slot[at]] * self.weights[at], minlength=len(rows))
+            self.asked[slot[needed:]] = 0.0
+            enough = score >= floor - SLACK
+            rows, score = rows[enough], score[enough]
+        return rows, score
+
+
+FOUND = "q long, d long, tie long, score double"
+
+
+def _lookup(k: int | None, later_only: bool, not_self: bool):
+    """Looks up probes in their cells. Rows come sorted by (cell, part, kind), a cell's vectors (kind 0) before its probes."""
+
+    def lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+        column = batch.column(name)
+        return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held, index = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, part, kind, ids, ties, floors = (batch.column(c).to_numpy() for c in ("cell", "part", "kind", "id", "tie", "floor"))
+            terms, sizes = lists(batch, "ts")
+            weights, _ = lists(batch, "ws")
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
+            out: list[tuple[np.ndarray, ...]] = []
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cell)]):
+                if unit != (cell[a], part[a]):
+                    unit, held, index = (cell[a], part[a]), [], None
+                if kind[a] == 0:
+                    held.append((ids[a:z], ties[a:z], sizes[a:z], terms[at[a] : at[z]], weights[at[a] : at[z]]))
+                    continue
+                if index is None:
+                    if not held:
+                        continue
+                    index, held = CellIndex(*(np.concatenate(c) for c in zip(*held))), []
+                for i in range(a, z):
+                    rows, score = index.scores(terms[at[i] : at[i + 1]], weights[at[i] : at[i + 1]], floors[i])
+                    if not_self:
+                        other = index.ids[rows] != ids[i]
+                        rows, score = rows[other], score[other]
+                    if later_only:
+                        other = index.ids[rows] < ids[i]
+                        rows, score = rows[other], score[other]
+                    if k is not None and len(rows) > k:
+                        shown = np.round(score, 9)
+                        worst = np.partition(shown, len(shown) - k)[len(shown) - k]
+                        rows, score, shown = (c[shown >= worst] for c in (rows, score, shown))
+                        best = np.lexsort((index.ids[rows], index.ties[rows], -shown))[:k]
+                        rows, score = rows[best], score[best]
+                    if len(rows):
+                        out.append((np.full(len(rows), ids[i]), index.ids[rows], index.ties[rows], score))
+            columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q", "d", "tie", "score"])
+
+    return run
+
+
+def _flat(vectors: DataFrame, *columns: str | Column) -> DataFrame:
+    """Terms and scaled weights as two arrays, rare terms first."""
+    ts = F.transform("terms", lambda x: x["t"]).cast("array<int>").alias("ts")
+    ws = F.transform("terms", lambda x: x["raw"] / F.col("norm")).alias("ws")
+    return vectors.select(*columns, ts, ws)
+
+
+def _heaviest(place: int) -> Column:
+    """The term of a vector's heaviest weight, or second heaviest; 0 where there is none."""
+    heavy = F.reverse(F.array_sort(F.transform("terms", lambda x: F.struct((x["raw"] / F.col("norm")).alias("w"), x["t"].alias("t")))))
+    return F.coalesce(F.get(heavy, F.lit(place))["t"], F.lit(0))
+
+
+def _celled(base: DataFrame, block: str) -> DataFrame:
+    """The base (block, id, tie, terms, norm) with ``cell``: a block, or a part of it with like heaviest terms."""
+    counts = settle(base.groupBy(block).agg(F.count(F.lit(1)).alias("size")), "block-sizes")
+    large = counts.where(F.col("size") > CELL)
+    if large.isEmpty():
+        return base.withColumn("cell", F.xxhash64(block))
+    rows = base.select(block, "id", _heaviest(0).alias("lead"), _heaviest(1).alias("second")).join(large, block)
+    leads = rows.groupBy(block, "lead", "size").agg(F.count(F.lit(1)).alias("n"))
+    # A lead with more than a cell's vectors has cells of its own, others share.
+    own = F.ceil(F.col("n") / CELL)
+    leads = leads.select(block, "lead", F.when(F.col("n") > CELL, own).alias("own"), F.ceil(F.col("size") / CELL).alias("cells"))
+    shared = F.xxhash64(block, F.pmod(F.xxhash64("lead"), F.col("cells")))
+    apart = F.xxhash64(block, "lead", F.pmod(F.xxhash64("second", F.floor(F.pmod(F.xxhash64("id"), 4 * F.col("own")) / 4)), F.col("own")))
+    placed = rows.drop("size").join(settle(leads, "lead-terms"), [block, "lead"])
+    placed = placed.select("id", F.col(block).alias("own_block"), F.when(F.col("own").isNull(), shared).otherwise(apart).alias("own_cell"))
+    same = (base["id"] == placed["id"]) & (base[block] == placed["own_block"])
+    return base.join(placed, same, "left").withColumn("cell", F.coalesce("own_cell", F.xxhash64(block))).drop(placed["id"]).drop("own_block", "own_cell")
+
+
+def _routes(probe: DataFrame, base: DataFrame, block: str) -> DataFrame:
+    """(id, cell, bound): the cells of a probe's block that share a term with it, and what each can give at most."""
+    weight = F.explode(F.transform("terms", lambda x: F.struct(x["t"].alias("t"), (x["raw"] / F.col("norm")).alias("w"))))
+    cells = base.select(block, "cell").distinct().groupBy(block).agg(F.count(F.lit(1)).alias("cells"), F.min("cell").alias("cell"))
+    cells = settle(cells, "cells")
+    single = probe.join(cells.where("cells = 1"), block).select("id", block, "cell", F.lit(1.0).alias("bound"))
+    many = cells.where("cells > 1").select(block)
+    if many.isEmpty():
+        return single
+    most = base.join(many, block, "left_semi").select(block, "cell", weight.alias("x")).groupBy(block, "cell", F.col("x.t").alias("t")).agg(F.max("x.w").alias("most"))
+    asked = probe.join(many, block, "left_semi").select("id", block, weight.alias("x")).select("id", block, F.col("x.t").alias("t"), F.col("x.w").alias("w"))
+    bound = F.least(F.sum(F.col("w") * F.col("most")), F.sqrt(F.sum(F.col("w") * F.col("w"))))
+    return single.unionByName(asked.join(most, [block, "t"]).groupBy("id", block, "cell").agg(bound.alias("bound")))
+
+
+def _search(probe: DataFrame, base: DataFrame, routes: DataFrame, block: str, k: int | None, later_only: bool, not_self: bool) -> DataFrame:
+    """Matches (q, d, tie, score) of probes along their routes (id, block, cell, floor)."""
+    loads = settle(routes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PROBES).cast("int").alias("parts")), "cell-loads")
+    held = base.join(loads, "cell").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+    held = _flat(held, "cell", "part", F.lit(0).alias("kind"), "id", F.coalesce("tie", F.lit(-1).cast("long")).alias("tie"), F.lit(0.0).alias("floor"))
+    sent = probe.join(routes.select(F.col("id").alias("r_id"), F.col(block).alias("r_block"), "cell", "floor"), (F.col("id") == F.col("r_id")) & (F.col(block) == F.col("r_block")))
+    sent = sent.join(loads, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    sent = _flat(sent, "cell", "part", F.lit(1).alias("kind"), "id", F.lit(0).cast("long").alias("tie"), "floor")
+    rows = held.unionByName(sent).repartition("cell", "part").sortWithinPartitions("cell", "part", "kind")
+    return rows.mapInArrow(_lookup(k, later_only, not_self), FOUND)
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("q").orderBy(F.desc(rounded(F.col("score"), 9)), "tie", "d")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def best_matches(probe: DataFrame, base: DataFrame, block: str, k: int, exclude_self: bool) -> DataFrame:
+    """Rows (q, d, score, rank): the k base vectors of a probe's block with the highest scores above 0; ties by ``tie``, then id.
+
+    ``probe`` has (block, id, terms, norm), ``base`` (block, id, tie, terms, norm); an id stands for one vector of one block.
+    """
+    base = settle(_celled(base, block), "celled")
+    routes = settle(_routes(probe, base, block), "routes")
+    first = Window.partitionBy("id", block).orderBy(F.desc("bound"), "cell")
+    ranked = routes.withColumn("place", F.row_number().over(first))
+    found = _search(probe, base, ranked.where("place = 1").withColumn("floor", F.lit(0.0)), block, k, False, exclude_self)
+    others = settle(ranked.where("place > 1"), "other-routes")
+    if not others.isEmpty():
+        found = settle(found, "first-matches")
+        floors = found.groupBy("q").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(0.0).alias("floor"))
+        rest = others.join(floors, others["id"] == floors["q"], "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+        rest = settle(rest.where(F.col("bound") + SLACK >= F.col("floor")).select("id", block, "cell", "floor"), "open-routes")
+        found = found.unionByName(_search(probe, base, rest, block, k, False, exclude_self))
+    return _top(found, k).select("q", "d", "score", "rank")
+
+
+def matches_above(probe: DataFrame, base: DataFrame, block: str, threshold: float, later_only: bool = False) -> DataFrame:
+    """(q, d, score): all base vectors of a probe's block with cosine >= threshold. ``later_only``: those with a smaller id
+    than the probe's, which gives each pair of a table with itself once."""
+    base = settle(_celled(base.withColumn("tie", F.lit(0).cast("long")), block), "celled")
+    routes = _routes(probe, base, block).where(F.col("bound") + SLACK >= threshold).withColumn("floor", F.lit(float(threshold)))
+    found = _search(probe, base, settle(routes, "routes"), block, None, later_only, False)
+    return found.where(F.col("score") >= threshold).select("q", "d", "score")
+
+
+def pairs_above(members: DataFrame, block: str, threshold: float) -> DataFrame:
     """Pairs (block, s1 < s2, score) of distinct signatures in one block with cosine >= threshold.
 
-    ``members`` has (block, signature), ``vectors`` (signature, terms, norm). A pair of signatures that
-    meets in many blocks is scored once.
+    ``members`` has (block, signature, terms, norm), settled.
     """
-    leads = settle(members.join(leading_terms(vectors, "signature", threshold), "signature"), "leading-terms")
-    one = leads.select(block, "t", F.col("signature").alias("s1"))
-    two = leads.select(block, "t", F.col("signature").alias("s2"))
-    candidates = settle(
-        one.join(two, [block, "t"]).where(F.col("s1") < F.col("s2")).select(block, "s1", "s2").distinct(), "candidates"
-    )
-    scored = _cosines(candidates.select("s1", "s2").distinct(), vectors, vectors, threshold)
-    return candidates.join(scored, ["s1", "s2"])
-
-
-def _cosines(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Exact cosine of the given (s1, s2), kept where it reaches the threshold."""
-    one = postings(left, ["signature"]).select(F.col("signature").alias("s1"), "t", F.col("w").alias("w1"))
-    two = postings(right, ["signature"]).select(F.col("signature").alias("s2"), "t", F.col("w").alias("w2"))
-    return (
-        pairs.join(one, "s1")
-        .join(two, ["s2", "t"])
-        .groupBy("s1", "s2")
-        .agg(F.sum(F.col("w1") * F.col("w2")).alias("score"))
-        .where(F.col("score") >= threshold)
-    )
-
-
-def matches_above(asked: DataFrame, base: DataFrame, threshold: float) -> DataFrame:
-    """(s1, s2, score): asked and base vectors (signature, terms, norm) with cosine >= threshold."""
-    one = leading_terms(asked, "signature", threshold).withColumnRenamed("signature", "s1")
-    two = leading_terms(base, "signature", threshold).withColumnRenamed("signature", "s2")
-    candidates = settle(one.join(two, "t").select("s1", "s2").distinct(), "candidates")
-    return _cosines(candidates, asked, base, threshold)
+    named = settle(members.select(block, "signature", "terms", "norm", F.monotonically_increasing_id().alias("id")), "named")
+    found = matches_above(named, named, block, threshold, later_only=True)
+    one = named.select(F.col("id").alias("q"), block, F.col("signature").alias("sq"))
+    two = named.select(F.col("id").alias("d"), F.col("signature").alias("sd"))
+    return found.join(one, "q").join(two, "d").select(block, F.least("sq", "sd").alias("s1"), F.greatest("sq", "sd").alias("s2"), "score")

@@ -66,10 +66,13 @@ class Vocabulary:
 
 def fit_vocabulary(texts: DataFrame, p: Params = Params(), stop_words: Sequence[str] = ENGLISH) -> Vocabulary:
     documents = texts.agg(F.sum("copies")).first()[0] or 0
+    # In order, a text's first of each term counts for df, so that terms needn't be grouped by text first.
+    ordered = texts.select("copies", F.array_sort(terms_of(F.col("cleaned"), stop_words)).alias("terms"))
+    marked = F.zip_with("terms", F.slice("terms", 2, F.size("terms")), lambda a, b: F.struct(a.alias("term"), (b.isNull() | (a != b)).alias("last")))
     kept = (
-        term_counts(texts, stop_words)
+        ordered.select("copies", F.inline(marked))
         .groupBy("term")
-        .agg(F.sum("copies").alias("df"), F.sum(F.col("tf") * F.col("copies")).alias("cf"))
+        .agg(F.sum(F.when(F.col("last"), F.col("copies"))).alias("df"), F.sum("copies").alias("cf"))
         .where(F.col("df") >= p.min_df)
         .orderBy(F.desc("cf"), "term")
         .limit(p.vocabulary)
@@ -91,9 +94,12 @@ def weigh(texts: DataFrame, vocabulary: Vocabulary, stop_words: Sequence[str] =
     The vocabulary is bounded, so broadcasting it is safe. Texts whose terms are equal share a signature.
     """
     known = F.broadcast(vocabulary.terms.select("term", "t", "idf"))
+    # Terms are grouped as numbers, after those outside the vocabulary are gone; texts spread by key aren't shuffled again.
     vectors = (
-        term_counts(texts, stop_words)
+        texts.select("text_key", F.explode(terms_of(F.col("cleaned"), stop_words)).alias("term"))
         .join(known, "term")
+        .groupBy("text_key", "t", "idf")
+        .agg(F.count(F.lit(1)).alias("tf"))
         .groupBy("text_key")
         .agg(
             F.sort_array(

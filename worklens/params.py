@@ -25,7 +25,6 @@ class Params:
     vocabulary: int = 10_000
     min_df: int = 2
     similar_at: float = 0.85
-    hot_postings: int = 256
     # isolation forest
     trees: int = 100
     tree_rows: int = 256

@@ -60,11 +60,11 @@ def block_vectors(corpus: Corpus) -> DataFrame:
 
 def nearest_in_block(corpus: Corpus, p: Params = Params()) -> DataFrame:
     """Highest similarity to another work of the block, per (block, signature). Copies have 1."""
-    base = block_vectors(corpus)
-    alone = base.where(F.col("copies") == 1).withColumnRenamed("signature", "q")
-    best = best_matches(alone, base.withColumnRenamed("signature", "d"), "block", 1, p.hot_postings, exclude_self=True)
+    base = settle(block_vectors(corpus).withColumns({"id": F.monotonically_increasing_id(), "tie": F.lit(0).cast("long")}), "block-vectors")
+    best = best_matches(base.where(F.col("copies") == 1), base, "block", 1, exclude_self=True)
+    named = best.join(base.select(F.col("id").alias("q"), "block", "signature"), "q")
     return (
-        corpus.members.join(best.select("block", F.col("q").alias("signature"), "score"), ["block", "signature"], "left")
+        corpus.members.join(named.select("block", "signature", "score"), ["block", "signature"], "left")
         .select(
             "block",
             "signature",
@@ -78,7 +78,7 @@ def similar_groups(corpus: Corpus, p: Params = Params()) -> DataFrame:
 
     With the members of each side this is every similar pair, without writing out the pairs of copies.
     """
-    pairs = pairs_above(corpus.members.select("block", "signature"), corpus.vectors, "block", p.similar_at)
+    pairs = pairs_above(block_vectors(corpus), "block", p.similar_at)
     size = corpus.members
     return pairs.join(
         size.select("block", F.col("signature").alias("s1"), F.col("copies").alias("copies_1")), ["block", "s1"]
@@ -129,20 +129,34 @@ def text_features(works: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def similar_text_pairs(works: DataFrame, corpus: Corpus, groups: DataFrame) -> DataFrame:
-    """Similar pairs with one representative work (lowest id) per distinct vector of a block."""
-    first = F.min(F.struct("work_id", "work_description", "mp_name", "state", "constituency")).alias("f")
-    faces = (
-        keyed(works)
-        .join(corpus.weighed.select("text_key", "signature"), "text_key")
-        .groupBy("block", "signature")
-        .agg(first)
-    )
+    """Similar pairs of works in a block, complete without writing out the pairs of copies.
+
+    Works of a block whose texts have one vector are represented by the one with the lowest id. ``relation`` is ``similar`` for pairs of
+    representatives (``copies_1``, ``copies_2``: how many works each stands for), and ``member`` for a representative and each
+    other work it stands for, with a score of 1. Any two works behind a similar pair, and any two members, are similar.
+    """
+    shown = ["work_id", "work_description", "mp_name", "state", "constituency"]
+    placed = keyed(works).join(corpus.weighed.select("text_key", "signature"), "text_key").select("block", "signature", F.struct(*shown).alias("f"))
+    placed = settle(placed, "placed-works")
+    faces = placed.groupBy("block", "signature").agg(F.min("f").alias("f"), F.count(F.lit(1)).alias("copies"))
+    faces = settle(faces, "representatives")
     left = faces.select("block", F.col("signature").alias("s1"), F.col("f").alias("f1"))
     right = faces.select("block", F.col("signature").alias("s2"), F.col("f").alias("f2"))
     both = groups.join(left, ["block", "s1"]).join(right, ["block", "s2"])
     swap = F.col("f1.work_id") > F.col("f2.work_id")
-    one, two = F.when(swap, F.col("f2")).otherwise(F.col("f1")), F.when(swap, F.col("f1")).otherwise(F.col("f2"))
-    return both.select(one.alias("a"), two.alias("b"), "score", swap.alias("swap"), "copies_1", "copies_2").select(
+    similar = both.select(
+        F.lit("similar").alias("relation"),
+        F.when(swap, F.col("f2")).otherwise(F.col("f1")).alias("a"),
+        F.when(swap, F.col("f1")).otherwise(F.col("f2")).alias("b"),
+        "score",
+        F.when(swap, F.col("copies_2")).otherwise(F.col("copies_1")).alias("copies_1"),
+        F.when(swap, F.col("copies_1")).otherwise(F.col("copies_2")).alias("copies_2"),
+    )
+    heads = faces.where("copies > 1").select("block", "signature", F.col("f").alias("a"), "copies")
+    members = placed.join(heads, ["block", "signature"]).where(F.col("f.work_id") != F.col("a.work_id"))
+    members = members.select(F.lit("member").alias("relation"), "a", F.col("f").alias("b"), F.lit(1.0).alias("score"), F.col("copies").alias("copies_1"), F.col("copies").alias("copies_2"))
+    return similar.unionByName(members).select(
+        "relation",
         F.col("a.work_id").alias("work_id_1"),
         F.col("b.work_id").alias("work_id_2"),
         F.col("a.constituency").alias("constituency"),
@@ -151,8 +165,8 @@ def similar_text_pairs(works: DataFrame, corpus: Corpus, groups: DataFrame) -> D
         F.col("a.work_description").alias("description_1"),
         F.col("b.work_description").alias("description_2"),
         rounded(F.col("score"), 4).alias("similarity_score"),
-        F.when(F.col("swap"), F.col("copies_2")).otherwise(F.col("copies_1")).alias("copies_1"),
-        F.when(F.col("swap"), F.col("copies_1")).otherwise(F.col("copies_2")).alias("copies_2"),
+        "copies_1",
+        "copies_2",
     )
 
 
@@ -186,13 +200,15 @@ def match_texts(asked: DataFrame, key: str, text: str, corpus: Corpus, k: int, p
     of = asked.select(key, text_key(clean_text(F.col(text))).alias("text_key")).join(
         weighed.select("text_key", "signature", "tfidf_mean", "tfidf_max"), "text_key", "left"
     )
-    probe = signatures(weighed).withColumnRenamed("signature", "q").withColumn("block", F.lit(0))
-    first = corpus.members.groupBy("signature").agg(F.min("first_id").alias("first_id"))
-    # Equal scores go to the text with the lowest work id.
-    base = corpus.vectors.join(first, "signature").select(
-        F.lit(0).alias("block"), F.struct("first_id", "signature").alias("d"), "terms", "norm"
-    )
-    best = best_matches(probe, base, "block", k, p.hot_postings, exclude_self=False)
-    return of.drop("text_key"), best.select(
-        F.col("q").alias("signature"), F.col("d.signature").alias("match"), "score", "rank"
-    )
+    probe = settle(signatures(weighed).select("*", F.lit(0).alias("block"), F.monotonically_increasing_id().alias("id")), "asked-vectors")
+    base = history_vectors(corpus)
+    best = best_matches(probe, base, "block", k, exclude_self=False)
+    best = best.join(probe.select(F.col("id").alias("q"), "signature"), "q").join(base.select(F.col("id").alias("d"), F.col("signature").alias("match")), "d")
+    return of.drop("text_key"), best.select("signature", "match", "score", "rank")
+
+
+def history_vectors(corpus: Corpus) -> DataFrame:
+    """All vectors of the corpus as one block; ``tie``: equal scores go to the text with the lowest work id."""
+    first = corpus.members.groupBy("signature").agg(F.min("first_id").alias("tie"))
+    base = corpus.vectors.join(first, "signature").select("*", F.lit(0).alias("block"), F.monotonically_increasing_id().alias("id"))
+    return settle(base, "history-vectors")
