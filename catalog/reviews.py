@@ -277,8 +277,8 @@ def review_stream(spark, sf):
     middle = entries.agg(F.median(F.unix_micros(F.col("review_timestamp").cast("timestamp")))).first()[0]
     newer = F.unix_micros(F.col("review_timestamp").cast("timestamp")) >= middle
     for part in (entries.where(newer), entries, entries.where(~newer)):
-        part.coalesce(1).write.mode("append").parquet(arrived)
-    stream = jobs.file_stream(spark, arrived, audit.LOG_SCHEMA, files_per_batch=1)
+        part.repartition(2).write.mode("append").parquet(arrived)
+    stream = jobs.file_stream(spark, arrived, audit.LOG_SCHEMA, files_per_batch=2)
     jobs.review_stream(stream, log, _folder(spark, "rejected"), _folder(spark, "cp")).awaitTermination()
     return spark.read.parquet(log).drop("batch")
 

@@ -93,3 +93,28 @@ def test_run_table_tells_of_a_failed_stage(spark):
         run.stage("second", broken)
     rows = [(r.stage, r.status, r.rows, r.error) for r in run.report(spark).orderBy("position").collect()]
     assert rows == [("first", "done", 3, None), ("second", "failed", None, "RuntimeError: no input")]
+
+
+def test_a_corrected_review_is_logged(spark, tmp_path):
+    """Bad status first, then a good one in the next batch; repeats are dropped and entries that contradict the log rejected."""
+    import datetime
+
+    from worklens.plans import audit
+    from worklens.streaming import jobs
+
+    def entry(log_id, status, minute, notes="n"):
+        return (log_id, 5, status, notes, "r", datetime.datetime(2026, 1, 1, 0, minute), 1.0, "LOW")
+
+    good, bad = "Verified Normal", "Maybe"
+    batches = [
+        [entry("A", bad, 1), entry("B", good, 1), entry("B", good, 2, "other"), entry(None, good, 3)],
+        [entry("A", good, 2), entry("A", bad, 1), entry("B", good, 1), entry(None, good, 3)],
+        [entry("A", good, 2), entry("A", good, 5, "later"), entry("C", bad, 1), entry(None, bad, 1)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, audit.LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = jobs.file_stream(spark, f"{tmp_path}/in", audit.LOG_SCHEMA)
+        jobs.review_stream(stream, f"{tmp_path}/log", f"{tmp_path}/bad", f"{tmp_path}/cp").awaitTermination()
+    key = lambda rows: sorted((str(r.log_id), r.review_status, r.reviewer_notes, r.review_timestamp.minute) for r in rows)
+    assert key(spark.read.parquet(f"{tmp_path}/log").collect()) == sorted([("A", good, "n", 2), ("B", good, "n", 1), ("None", good, "n", 3), ("None", good, "n", 3)])
+    assert key(spark.read.parquet(f"{tmp_path}/bad").collect()) == sorted([("A", bad, "n", 1), ("A", good, "later", 5), ("B", good, "other", 2), ("C", bad, "n", 1), ("None", bad, "n", 1)])

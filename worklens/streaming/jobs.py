@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.errors import AnalysisException
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructField, StructType
 
 from worklens.params import Params
 from worklens.plans import audit
@@ -39,37 +41,60 @@ def screen_stream(proposals: DataFrame, past: History, out: str, checkpoint: str
     )
 
 
-def _logged(spark: SparkSession, folders: list[str], number: int) -> DataFrame | None:
-    """Ids that earlier batches have written to the folders; the folder of a repeated batch doesn't count."""
-    out = None
-    for path in folders:
-        try:
-            rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-        except AnalysisException:  # nothing is written yet
-            continue
-        ids = rows.where(F.col("batch") != number).select("log_id")
-        out = ids if out is None else out.unionByName(ids)
-    return out
+#: What becomes of an entry.
+LOGGED, REJECTED = "logged", "rejected"
+_SEEN = "logged string, refused string"
+
+
+def _outcomes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What becomes of the entries of one id. The state holds the digest of the logged entry and those of the refused."""
+    logged, refused = state.get if state.exists else (None, "")
+    known = set(refused.split(",")) - {""}
+    for frame in frames:
+        if len(frame) > 1:
+            frame = frame.sort_values(["review_timestamp", "entry_digest"], kind="stable")
+        outcome: list[str | None] = []
+        for digest, valid in zip(frame["entry_digest"], frame["entry_valid"]):
+            if digest == logged or digest in known:
+                outcome.append(None)  # delivered before
+            elif valid and logged is None:
+                logged = digest
+                outcome.append(LOGGED)
+            else:
+                known.add(digest)
+                outcome.append(REJECTED)
+        kept = [x is not None for x in outcome]
+        if any(kept):
+            frame["outcome"] = outcome
+            yield frame if all(kept) else frame[kept]
+    state.update((logged, ",".join(sorted(known))))
 
 
 def review_stream(entries: DataFrame, log: str, rejected: str, checkpoint: str) -> StreamingQuery:
-    """Validated append of review decisions. An entry delivered more than once is logged or rejected once, however late it comes.
+    """Validated append of review decisions, each to the log or to the rejected entries, however late it comes.
 
-    Every decision ends up in the log or among the rejected: there is no watermark. A batch is compared with the ids written
-    before, a scan of one column; entries without an id can't be told apart and are all kept.
+    The first valid entry of an id is logged. An entry delivered again is dropped. Invalid entries are rejected, and a valid one that
+    corrects them later is logged; so is an entry that differs from the logged one of its id: it is rejected, not lost. Within a batch the
+    earliest by review_timestamp comes first. What was delivered before is kept as state per id, without a watermark, so a batch reads
+    neither the log nor the rejected entries. Entries without an id can't be told apart and all go to the log or the rejected.
     """
+    spark = entries.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    digest = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in entries.columns])), 256)
+    marked = entries.withColumns({"entry_digest": digest, "entry_valid": audit.is_valid()})
+    named = marked.where(F.col("log_id").isNotNull()).withColumn("entry_key", F.col("log_id"))
+    schema = StructType([*named.schema.fields, StructField("outcome", StringType())])
+    judged = named.groupBy("entry_key").applyInPandasWithState(_outcomes, schema, _SEEN, "append", GroupStateTimeout.NoTimeout)
+    judged = judged.drop("entry_digest", "entry_valid", "entry_key")
+    nameless = entries.where(F.col("log_id").isNull()).withColumn("outcome", F.when(audit.is_valid(), LOGGED).otherwise(REJECTED))
 
     def each(batch: DataFrame, number: int) -> None:
-        named = batch.where(F.col("log_id").isNotNull()).dropDuplicates(["log_id"])
-        before = _logged(batch.sparkSession, [log, rejected], number)
-        if before is not None:
-            named = named.join(before, "log_id", "left_anti").select(*batch.columns)
-        arrived = settle(named.unionByName(batch.where(F.col("log_id").isNull())), "reviews")
-        good, bad = audit.split_valid(arrived)
-        _into(good, number, log)
-        _into(bad, number, rejected)
-
-    return entries.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        arrived = settle(batch, "reviews")
+        _into(audit.prepared(arrived.where(F.col("outcome") == LOGGED).drop("outcome")), number, log)
+        _into(arrived.where(F.col("outcome") == REJECTED).drop("outcome"), number, rejected)
+
+    whole = judged.unionByName(nameless)
+    return whole.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def status_stream(entries: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
