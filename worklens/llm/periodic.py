@@ -65,6 +65,8 @@ def boundaries(words: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, np.
     owner = np.repeat(np.arange(len(sizes)), sizes)[: len(grams)]
     inside = np.arange(len(grams)) + GRAM <= begins[owner + 1]
     places = np.flatnonzero(inside)
+    if not len(places):
+        return
     grams = (grams[places] + owner[places].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ (owner[places].astype(np.uint64) << np.uint64(40))
     order = np.argsort(grams, kind="stable")
     sorted_, places = grams[order], places[order]
@@ -103,18 +105,16 @@ def z_function(x: list[int], upto: int) -> list[int]:
     return z
 
 
-def _primitive(block: np.ndarray) -> bool:
-    """Whether the block isn't a repetition of a shorter one."""
-    q = rest = len(block)
-    f = 2
+def _primitive(q: int, z: list[int]) -> bool:
+    """Whether the first q items aren't a repetition of fewer; ``z``: their Z-function, up to q / 2 at least."""
+    rest, f = q, 2
     while rest > 1:
         if f * f > rest:
             f = rest
         if rest % f == 0:
             while rest % f == 0:
                 rest //= f
-            d = q // f
-            if (block[d:] == block[:-d]).all():
+            if z[q // f] >= q - q // f:
                 return False
         f += 1
     return True
@@ -127,14 +127,25 @@ def fragments(words: np.ndarray, marks: list[int], octave: int) -> Iterator[tupl
     """
     grams = _grams(words)
     order = np.argsort(grams, kind="stable")
-    sorted_ = grams[order]
+    rank = np.empty(len(grams), np.int64)
+    rank[order] = np.cumsum(np.append(True, grams[order[1:]] != grams[order[:-1]]))
+    key = rank[order] * np.int64(len(words) + 1) + order  # ascending: by gram, then by place
+    at = np.asarray(marks, np.int64)
+    own = rank[at] * np.int64(len(words) + 1) + at
+    lows = np.searchsorted(key, own + octave).tolist()
+    highs = np.searchsorted(key, np.minimum(own + 2 * octave, (rank[at] + 1) * np.int64(len(words) + 1))).tolist()
     plain = words.tolist()
     covered: dict[int, tuple[int, int]] = {}
-    for b in marks:
-        lo, hi = np.searchsorted(sorted_, grams[b], "left"), np.searchsorted(sorted_, grams[b], "right")
-        again = order[lo:hi]
-        again = again[np.searchsorted(again, b + octave) : np.searchsorted(again, b + 2 * octave)]
-        open_ = [q for q in (again - b).tolist() if not (q in covered and covered[q][0] <= b and b + q <= covered[q][1])]
+    for b, low, high in zip(marks, lows, highs):
+        again = order[low:high] - b
+        if len(again) == 1:
+            q = int(again[0])
+            x, y = covered.get(q, (0, 0))
+            if x <= b and b + q <= y:
+                continue
+            open_ = [q]
+        else:
+            open_ = [q for q in again.tolist() if not (q in covered and covered[q][0] <= b and b + q <= covered[q][1])]
         if not open_:
             continue
         ahead = z_function(plain[b:], max(open_) + 1)
@@ -145,10 +156,8 @@ def fragments(words: np.ndarray, marks: list[int], octave: int) -> Iterator[tupl
         behind = z_function([*pattern, -1, *text], len(pattern) + 2 + end - b - min(open_))
         for q in open_:
             x, y = b - behind[len(pattern) + 1 + end - b - q], b + q + ahead[q]
-            if y - x < 2 * q:
-                continue
-            covered[q] = x, y
-            if _primitive(words[x : x + q]):
+            covered[q] = x, y  # with less than two periods, too: another boundary in it shows the same
+            if y - x >= 2 * q and _primitive(q, ahead):
                 yield q, x, y
 
 
