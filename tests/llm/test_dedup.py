@@ -14,7 +14,9 @@ from worklens.llm.components import components
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def test_exact_assignments(spark):
+@pytest.mark.parametrize("keys", [0, 1000])
+def test_exact_assignments(spark, monkeypatch, keys):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", keys)
     got = exact_dedup.assignments(documents(spark)).collect()
     assert len(got) == len(TEXTS)
     groups = {}
@@ -29,7 +31,9 @@ def test_exact_assignments(spark):
     assert set(kept.values()) == {1}  # repeated rows and null ids too
 
 
-def test_exact_dedup_keeps_columns_and_empty_tables(spark):
+@pytest.mark.parametrize("keys", [0, 1000])
+def test_exact_dedup_keeps_columns_and_empty_tables(spark, monkeypatch, keys):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", keys)
     docs = documents(spark)
     out = exact_dedup.deduplicate(docs)
     assert out.columns == docs.columns

@@ -6,7 +6,8 @@ travel. They meet in three steps: each task combines its own copies before the e
 most ``SALTS`` rows a text, are combined globally. Every step groups by the whole text next to its digest, so two texts
 with one digest stay apart.
 
-Rows find their group by digest. Groups of more than a thousandth of all rows, at most a thousand, are broadcast, and their
+Texts of repeated digests are picked out where they are read, by their second hashes: up to ``BROADCAST_KEYS`` numbers are
+broadcast, beyond that the rows are joined with them by shuffle. Rows find their group by digest. Groups of more than a thousandth of all rows, at most a thousand, are broadcast, and their
 rows are dealt anywhere; others are joined, by shuffle where they are many.
 """
 
@@ -21,6 +22,8 @@ from worklens.sources.staging import settle
 SALTS = 63
 #: A group is large if it has more than one in this many of all rows; so many groups are large at most.
 LARGE = 1000
+#: Hashes broadcast at most, 8 bytes each.
+BROADCAST_KEYS = 4_000_000
 
 
 def salt_winners(texts: DataFrame) -> DataFrame:
@@ -38,6 +41,14 @@ def _keys(low: Column) -> Column:
     return F.struct(F.unhex(F.sha2(low, 256)).alias("digest"), F.xxhash64(low).alias("second"))
 
 
+def _split(rows: DataFrame, second: str, groups: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """Rows that surely have no group, and the others; None and all rows where the hashes are too many to broadcast."""
+    if groups.count() > BROADCAST_KEYS:
+        return None, rows
+    hashes = F.broadcast(groups.select(F.col("key.second").alias(second)).distinct())
+    return rows.join(hashes, second, "left_anti"), rows.join(hashes, second, "left_semi")
+
+
 def _digests(docs: DataFrame) -> DataFrame:
     low = ascii_lower(whole_text())
     rows = docs.select("doc_id", F.xxhash64("text").alias("written"), _keys(low).alias("key"), F.monotonically_increasing_id().alias("number"))
@@ -54,8 +65,11 @@ def repeated_texts(docs: DataFrame, digests: DataFrame) -> DataFrame:
     narrow = settle(narrow, "repeated-digests")
 
     low = ascii_lower(whole_text())
-    texts = docs.select("doc_id", low.alias("text"), _keys(low).alias("key"), F.monotonically_increasing_id().alias("number"))
-    texts = find(texts, ["key"], narrow, max(digests.count() // LARGE, 1), "found").where("found IS NOT NULL")
+    texts = docs.select("doc_id", low.alias("text"), F.xxhash64(low).alias("second"), F.monotonically_increasing_id().alias("number"))
+    _, texts = _split(texts, "second", narrow)
+    texts = texts.withColumn("key", F.struct(F.unhex(F.sha2("text", 256)).alias("digest"), "second"))
+    if narrow.count() > BROADCAST_KEYS:
+        texts = find(texts, ["key"], narrow, max(digests.count() // LARGE, 1), "found").where("found IS NOT NULL")
     salt = F.pmod(F.xxhash64("number"), F.lit(SALTS)).cast("int").alias("salt")
     whole = combine(salt_winners(texts.select("doc_id", "text", F.col("key").alias("digest"), salt)))
     whole = whole.groupBy(F.col("digest").alias("key")).agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("size"))
@@ -96,17 +110,21 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     digests = _digests(docs)
     groups = repeated_texts(docs, digests)
-    key, number, found, salt, doc = fresh(docs, "text_key", "text_number", "text_group", "text_salt", "doc")
+    key, second, number, found, salt, doc = fresh(docs, "text_key", "text_second", "text_number", "text_group", "text_salt", "doc")
     low = ascii_lower(whole_text())
-    rows = docs.withColumns({key: _keys(low), number: F.monotonically_increasing_id()})
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    alone, rows = _split(docs.withColumn(second, F.xxhash64(low)), second, groups)
+    rows = rows.withColumns({key: F.struct(F.unhex(F.sha2(low, 256)).alias("digest"), F.col(second).alias("second")), number: F.monotonically_increasing_id()})
     rows = find(rows, [key], groups.withColumnRenamed("key", key), max(digests.count() // LARGE, 1), found)
     own = F.col("doc_id").eqNullSafe(F.col(found)["keep_id"]) & (F.xxhash64("text") == F.col(found)["keep_written"])
     rows = rows.where(F.col(found).isNull() | own)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = F.col(found).isNull() | (F.col(found)["ties"] == 1)
+    out = rows.where(once).select(*columns)
+    if alone is not None:
+        out = out.unionByName(alone.select(*columns))
     if groups.where("ties > 1").isEmpty():
-        return rows.select(*columns)
+        return out
     # Repetitions of the row that stays: one of them by salt, then one of all.
-    once = F.col(found).isNull() | (F.col(found)["ties"] == 1)
     more = rows.where(~once).select(F.col(key).alias(key), F.pmod(F.xxhash64(number), F.lit(SALTS)).alias(salt), F.struct(*columns).alias(doc))
     more = more.groupBy(key, salt).agg(F.any_value(doc).alias(doc)).groupBy(key).agg(F.any_value(doc).alias(doc))
-    return rows.where(once).select(*columns).unionByName(more.select(*[F.col(doc)[c].alias(c) for c in docs.columns]))
+    return out.unionByName(more.select(*[F.col(doc)[c].alias(c) for c in docs.columns]))
