@@ -92,12 +92,3 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 20, depth: int = 3, rate: f
         model.trees.append(tree)
         margin += tree.apply(x)
     return model
-
-
-def threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The lowest probability from which on the share of ones is at least ``precision``; 2 if there is none."""
-    order = np.argsort(-p, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    last = np.append(p[order][1:] != p[order][:-1], True) if len(p) else np.zeros(0, bool)  # ties go together
-    good = np.flatnonzero((right >= precision) & last)
-    return float(p[order][good[-1]]) if len(good) else 2.0

@@ -2,9 +2,12 @@
 
 The rules give the base spans, which always stay. Generators propose spans that merely look like an address or a number, with
 other separators, without a plus sign or written out; they overlap each other and the rules. Each candidate has features of
-its format and of the text around it, none of them the rules' own tests. Trees are boosted on a bounded sample of candidates,
-labelled by whether the rules' tests hold for them, and per kind the lowest probability that keeps ``PRECISION`` on candidates
-left out of the fit selects what is added.
+its format, of its digits and of the text around it. There are no labels, so trees are boosted on what is certain: spans of the
+rules, rewritten into loose forms where they stand, are positive; proposed spans that fail the digits' tests, look like a date
+or stand behind a word for something else, such as an order number, are negative; the rest is open. The sample for the
+fit is bounded for each kind and label. Thresholds come from histograms of the scores over all rewritten spans and all negative
+candidates of the corpus: per kind the lowest probability, a half at least, from which on ``PRECISION`` of the certain ones are positive. Open
+candidates that reach it and overlap no span of the rules are added.
 
 Positions come from the lengths of the matches and of the text between them. Patterns start at the first character of a run
 only and take runs without giving back, so long runs cost one pass.
@@ -16,14 +19,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worklens.llm.boosting import Boosted, boost, threshold
+from worklens.llm.boosting import Boosted, boost
 from worklens.llm.common import lowest_hashes, whole_text
 from worklens.sources.staging import settle
 
 KINDS = ("email", "ip", "card", "phone")
-#: About so many candidates the model is fitted on: those of the lowest hash.
-TRAIN_CANDIDATES = 4000
+#: About so many candidates of each kind and label the model is fitted on: those of the lowest hash.
+TRAIN_CANDIDATES = 1000
 PRECISION = 0.95
+#: Steps of the histograms.
+STEPS = 1000
 CONTEXT = 24
 _BLOCK = 64
 
@@ -51,6 +56,17 @@ _HINTS = {
     "phone": r"(?i)tel|phone|call|fax|mobil",
 }
 
+#: Words before a number that is something else.
+_OTHERWISE = r"(?i)(\\b(order|invoice|ref|no|nr|number|id|isbn|issn|version|page|pages|vol|art|item|sku|case|section|chapter|lot|serial)[.:#]? ?|[#§])$"
+_DATE = r"^((19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}|[0-9]{1,2}[-./ ][0-9]{1,2}[-./ ](19|20)[0-9]{2})"
+#: Loose forms of a rule's span, as SQL of its match; those that the generator wouldn't propose whole are left out.
+_LOOSE = {
+    "email": ["regexp_replace(regexp_replace(m, '@', ' (at) '), '[.](?=[^@]*$)', ' (dot) ')", "regexp_replace(m, '@', '(at)')", "regexp_replace(regexp_replace(m, '@', ' [at] '), '[.]', '[dot]')"],
+    "ip": ["regexp_replace(m, '[.]', '-')", "regexp_replace(m, '[.]', ':')"],
+    "card": ["regexp_replace(regexp_replace(m, '[^0-9]', ''), '([0-9]{4})(?=[0-9])', '$1.')"],
+    "phone": ["substr(m, 2)", "concat('00', substr(m, 2))", "regexp_replace(substr(m, 2), '[ -]+', '.')"],
+}
+
 
 def _active(kind: str) -> Column:
     if kind == "email":
@@ -94,6 +110,23 @@ def holds(kind: str, match: str) -> str:
     return "true"
 
 
+def _passes(kind: str, match: str) -> str:
+    """SQL: whether the digits, or the last name of an address, are such that a candidate may be of its kind."""
+    if kind == "email":
+        return f"{match} RLIKE '[A-Za-z]{{2,}}$'"
+    if kind == "ip":
+        parts = f"split({match}, '[^0-9]+')"
+        alike = f"{match} RLIKE '^[0-9]+([.:, -])[0-9]+\\\\1[0-9]+\\\\1[0-9]+$'"
+        return f"{alike} AND forall({parts}, p -> length(p) <= 3 AND CAST(nullif(p, '') AS INT) <= 255)"
+    return holds(kind, match)
+
+
+def _negative(kind: str, c: str) -> str:
+    """SQL: whether a candidate certainly isn't of its kind."""
+    otherwise = "false" if kind == "email" else f"{c}.before RLIKE '{_OTHERWISE}' OR {c}.before RLIKE '[0-9][-.:/]?$' OR {c}.match RLIKE '{_DATE}'"
+    return f"(NOT {_passes(kind, f'{c}.match')} OR {otherwise})"
+
+
 def _features(kind: str) -> str:
     """SQL: the features of candidate ``c``, of its format and its surroundings."""
     x = "c.match"
@@ -116,6 +149,9 @@ def _features(kind: str) -> str:
         "IF(c.before = '' OR c.before RLIKE '[ \\\\n\\\\t]$', 0, IF(c.before RLIKE '[A-Za-z0-9]$', 2, 1))",
         "IF(c.after = '' OR c.after RLIKE '[ \\\\n\\\\t]', 0, IF(c.after RLIKE '[A-Za-z0-9]', 2, 1))",
         *[f"IF(c.before RLIKE '{hint.replace(chr(92), chr(92) * 2)}', 1, 0)" for hint in _HINTS.values()],
+        f"IF(c.before RLIKE '{_OTHERWISE}', 1, 0)",
+        f"IF({x} RLIKE '{_DATE}', 1, 0)",
+        f"IF({_passes(kind, x)}, 1, 0)",
     ]
     return f"array({', '.join(f'CAST({v} AS DOUBLE)' for v in values)})"
 
@@ -124,36 +160,61 @@ SPANS = "array<struct<kind:int,from:bigint,till:bigint>>"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, base (spans), proposed (spans with features and whether the rule's test holds) of every whole text."""
+    """doc_id, base (spans), proposed (spans with features and whether they are negative), positive (kind and features of
+    rewritten spans of the rules) of every whole text."""
     df = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     df = df.withColumn("has_digit", F.col("text").rlike("[0-9]"))
     for kind in KINDS:
         k = KINDS.index(kind)
         df = located(df, RULES[kind], _active(kind), "found")
-        df = df.withColumn(f"rule_{kind}", F.expr(f"transform(filter(found, c -> {holds(kind, 'c.match')}), c -> struct({k} AS kind, c.from AS from, c.till AS till))"))
+        df = df.withColumn("right_ones", F.expr(f"filter(found, c -> {holds(kind, 'c.match')})"))
+        df = df.withColumn(f"rule_{kind}", F.expr(f"transform(right_ones, c -> struct({k} AS kind, c.from AS from, c.till AS till))"))
+        generator = GENERATORS[kind].replace("\\", "\\\\")
+        forms = ", ".join(f"transform(right_ones, s -> struct({form.replace('m,', 's.match,').replace('(m)', '(s.match)')} AS match, s.before AS before, s.after AS after))" for form in _LOOSE[kind])
+        df = df.withColumn("loose", F.expr(f"filter(concat({forms}), c -> regexp_extract(c.match, '{generator}', 0) = c.match)"))
+        df = df.withColumn(f"like_{kind}", F.expr(f"transform(loose, c -> struct({k} AS kind, {_features(kind)} AS x))"))
         df = located(df, GENERATORS[kind], _active(kind), "found")
-        # The rule's test, for training: the candidate is exactly one of the rule's spans.
-        label = f"exists(rule_{kind}, r -> r.from = c.from AND r.till = c.till)"
-        df = df.withColumn(f"loose_{kind}", F.expr(f"transform(found, c -> struct({k} AS kind, c.from AS from, c.till AS till, {_features(kind)} AS x, {label} AS holds))"))
+        df = df.withColumn(f"loose_{kind}", F.expr(f"transform(found, c -> struct({k} AS kind, c.from AS from, c.till AS till, {_features(kind)} AS x, {_negative(kind, 'c')} AS negative))"))
+        df = df.drop("right_ones", "loose")
     base = F.concat(*[f"rule_{kind}" for kind in KINDS])
-    return df.select("doc_id", base.alias("base"), F.concat(*[f"loose_{kind}" for kind in KINDS]).alias("proposed"))
+    apart = "NOT exists(base, b -> b.from < c.till AND c.from < b.till)"
+    out = df.select("doc_id", base.alias("base"), F.concat(*[f"loose_{kind}" for kind in KINDS]).alias("proposed"), F.concat(*[f"like_{kind}" for kind in KINDS]).alias("positive"))
+    return out.withColumn("proposed", F.expr(f"filter(proposed, c -> {apart})"))
+
+
+def _certain(found: DataFrame) -> DataFrame:
+    """kind, x, positive (whether) of rewritten spans and negative candidates."""
+    one = found.select(F.inline("positive")).select("kind", "x", F.lit(True).alias("positive"))
+    other = found.select(F.explode("proposed").alias("c")).where("c.negative").select("c.kind", "c.x", F.lit(False).alias("positive"))
+    return one.unionByName(other)
 
 
 def fit(found: DataFrame, most: int = TRAIN_CANDIDATES, precision: float = PRECISION) -> tuple[Boosted, list[float]]:
-    """The model and a threshold per kind, from about ``most`` candidates, never twice as many. A fifth of them is for the thresholds."""
-    rows = found.select("doc_id", F.explode("proposed").alias("c"))
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id"), F.lit(0)), "c.from", "c.till", "c.kind")
-    rows = rows.where(lowest_hashes(key, rows.count(), most)).select("c.*", key.alias("key")).limit(2 * most).collect()
-    rows.sort(key=lambda r: (r["key"], r["holds"]))
-    np.random.default_rng(0).shuffle(rows)
-    if not rows:
+    """The model and a threshold per kind. The fit takes about ``most`` rows of each kind and label, never twice as many; the
+    thresholds take all. A kind without positive rows, or where no threshold keeps the precision, adds nothing."""
+    rows = _certain(found).select("*", F.xxhash64("x", F.monotonically_increasing_id()).alias("key"))
+    counts = rows.groupBy("kind", "positive").count().collect()
+    wanted = None
+    for r in counts:
+        mine = (F.col("kind") == r["kind"]) & (F.col("positive") == r["positive"]) & lowest_hashes(F.col("key"), r["count"], most)
+        wanted = mine if wanted is None else wanted | mine
+    sample = [] if wanted is None else rows.where(wanted).limit(2 * most * 2 * len(KINDS)).collect()
+    if not any(r["positive"] for r in sample):
         return Boosted(0.0), [2.0] * len(KINDS)
-    x, y = np.array([r["x"] for r in rows], float), np.array([r["holds"] for r in rows], float)
-    kind = np.array([r["kind"] for r in rows])
-    left = np.arange(len(rows)) % 5 == 0
-    model = boost(x[~left], y[~left])
-    p = model.probability(x)
-    return model, [threshold(p[left & (kind == k)], y[left & (kind == k)], precision) for k in range(len(KINDS))]
+    sample.sort(key=lambda r: (r["kind"], r["positive"], r["x"]))
+    model = boost(np.array([r["x"] for r in sample], float), np.array([r["positive"] for r in sample], float))
+    step = F.floor(F.expr(model.sql("x")) * STEPS).cast("int")
+    bins = rows.groupBy("kind", "positive", step.alias("step")).count().collect()  # at most two for each kind and step
+    cuts = []
+    for k, kind in enumerate(KINDS):
+        right, wrong = np.zeros(STEPS + 1), np.zeros(STEPS + 1)
+        for r in bins:
+            if r["kind"] == k:  # each span of the rules has several loose forms
+                (right if r["positive"] else wrong)[r["step"]] += r["count"] / (len(_LOOSE[kind]) if r["positive"] else 1)
+        right, wrong = np.cumsum(right[::-1])[::-1], np.cumsum(wrong[::-1])[::-1]
+        good = np.flatnonzero((right > 0) & (right >= precision * (right + wrong)))
+        cuts.append(max(0.5, float(good[0]) / STEPS) if len(good) else 2.0)
+    return model, cuts
 
 
 def _listed(spans: str) -> str:
@@ -165,15 +226,15 @@ def _listed(spans: str) -> str:
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the rules' spans, spans (all), n_added.
 
-    Spans are kind:start:end in code points, ordered by start and kind. A candidate is added if its probability reaches the
-    threshold of its kind and it overlaps no span of the rules. Null and empty texts have no spans; repeated rows give repeated
+    Spans are kind:start:end in code points, ordered by start and kind. A candidate that isn't certainly negative is added if its
+    probability reaches the threshold of its kind and it overlaps no span of the rules. Kinds of which the corpus has no span by the
+    rules add nothing. Null and empty texts have no spans; repeated rows give repeated
     results; rows without an id are treated like others; other columns are ignored; an empty table gives no rows.
     """
     found = settle(candidates(docs), "pii-candidates")
     model, cuts = fit(found)
     cut = f"array({', '.join(f'{c!r}D' for c in cuts)})[c.kind]"
-    apart = "NOT exists(base, b -> b.from < c.till AND c.from < b.till)"
-    added = f"array_distinct(transform(filter(proposed, c -> {apart} AND {model.sql('c.x')} >= {cut}), c -> struct(c.kind AS kind, c.from AS from, c.till AS till)))"
+    added = f"array_distinct(transform(filter(proposed, c -> NOT c.negative AND {model.sql('c.x')} >= {cut}), c -> struct(c.kind AS kind, c.from AS from, c.till AS till)))"
     out = found.withColumn("added", F.expr(added))
     counts = [F.expr(f"CAST(size(filter(base, b -> b.kind = {k})) AS BIGINT)").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return out.select(
