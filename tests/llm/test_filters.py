@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.rows import LONG, TEXTS, documents
@@ -169,9 +170,11 @@ def brute_phrases(text, sample):
     return n
 
 
-def test_cross_parsing_counts():
+@pytest.mark.parametrize("cells", [0, 1 << 24])
+def test_cross_parsing_counts(monkeypatch, cells):
     rng = random.Random(2)
     samples = tuple((name, langid.letters_only(" ".join("".join(rng.choice(s) for _ in range(rng.randint(1, 5))) for _ in range(200)))) for name, s in (("x", "abc"), ("y", "bcd"), ("z", "aé")))
+    monkeypatch.setattr(langid, "DENSE_CELLS", cells)
     parser = langid.Parser(samples)
     texts = [langid.letters_only("".join(rng.choice("abcdéq ") for _ in range(rng.randint(0, 1500)))) for _ in range(25)]
     assert parser.phrases(texts).tolist() == [[brute_phrases(t, s) for _, s in samples] for t in texts]
@@ -224,3 +227,19 @@ def test_loose_forms_are_added(spark):
     got = {r.doc_id: r for r in pii.personal_data(documents(spark, rows)).where("doc_id >= 1000").collect()}
     for i, (text, span) in asked.items():
         assert (span in got[i].spans.split(",")) and got[i].n_added >= 1 if span else got[i].spans == "", (text, got[i].spans)
+
+
+def test_languages_of_many_letters_and_repeated_ids(spark):
+    """Four alphabets of 300 letters each; one id with thousands of rows is one document of the sample."""
+    rng = random.Random(8)
+    alphabets = [[chr(0x4E00 + 300 * k + i) for i in range(300)] for k in range(4)]
+    rows = []
+    for i in range(400):
+        k = i % 4
+        rows.append((i, "".join(rng.choice(alphabets[k]) + " " * (rng.random() < 0.2) for _ in range(120)), f"l{k}"))
+    rows += [(3, "".join(alphabets[3][:50]), "l3")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = langid.learn(docs, train_letters=2000)
+    assert [name for name, _ in samples] == ["l0", "l1", "l2", "l3"] and all(1500 < len(t) <= 2000 for _, t in samples)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs.dropDuplicates(["doc_id"])).collect()}
+    assert all(got[i] == f"l{i % 4}" for i in range(400))
