@@ -227,10 +227,14 @@ def proposal_percentiles(spark, sf):
     return tidy(df.select("proposal_id", "state_percentile", "const_percentile"), "state_percentile const_percentile", 4)
 
 
-@query(oracle(f"SELECT proposal_id, {r('coalesce(share_med, 0.35)')} AS constituency_max_vendor_share FROM proposals p LEFT JOIN const_med c ON p.constituency = c.constituency"))
+_MEDIANS = {"constituency_max_vendor_share": "0.35", "constituency_avg_vendor_transaction": "500000", "constituency_pending_payment_ratio": "0.1"}
+STEPS["const_medians"] = "SELECT constituency, " + ", ".join(f"{quantile(c, 0.5)} AS {c}" for c in _MEDIANS) + " FROM filled WHERE constituency IS NOT NULL GROUP BY constituency"
+
+
+@query(oracle("SELECT proposal_id, " + ", ".join(f"{r(f'coalesce(c.{c}, {other}::double)', 4)} AS {c}" for c, other in _MEDIANS.items()) + " FROM proposals p LEFT JOIN const_medians c ON p.constituency = c.constituency"))
 def proposal_vendor_medians(spark, sf):
-    df = screening.with_vendor_medians(_proposals(spark, sf), master(spark, sf))
-    return tidy(df.select("proposal_id", "constituency_max_vendor_share"), "constituency_max_vendor_share")
+    df = screening.with_vendor_medians(_proposals(spark, sf), analysed_works(spark, sf))
+    return tidy(df.select("proposal_id", *_MEDIANS), " ".join(_MEDIANS), 4)
 
 
 @query(oracle(f"SELECT work_id, {r('least(100, greatest(0, (-raw_anomaly_score + 0.20::double) / 0.50::double * 100.0::double))')} AS score_100, CASE WHEN raw_anomaly_score < 0 OR least(100, greatest(0, (-raw_anomaly_score + 0.20::double) / 0.50::double * 100.0::double)) >= 55 THEN -1 ELSE 1 END AS label FROM model"))
