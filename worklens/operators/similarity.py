@@ -7,7 +7,7 @@ first, which gives it a floor, its k-th best score so far, and then to those cel
 
 Inside a cell a probe goes through its terms from rare to frequent. Once what the remaining terms can add, the smaller of
 their bound and of the norm of the probe's rest, stays below the floor, no new match can come up: only matches found so far that
-can still reach the floor are completed, from their own terms. With a fixed floor, a threshold, this is a join by
+can still reach the floor, by the norm of their own rest as well, are completed, from their own terms. With a fixed floor, a threshold, this is a join by
 rare leading terms; with a floor of 0 all terms are added up. Probes of a cell are dealt in parts of ``PROBES``.
 """
 
@@ -42,9 +42,12 @@ class CellIndex:
         self.row_at = np.concatenate([[0], np.cumsum(sizes)])
         self.terms, slot = np.unique(terms, return_inverse=True)
         self.slot = slot
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        self.place = rows * np.int64(len(self.terms)) + slot  # ascending: by row, then rare terms first
+        self.square = np.concatenate([[0.0], np.cumsum(weights * weights)])
         order = np.argsort(slot, kind="stable")
         self.post_at = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=len(self.terms)))])
-        self.post_row = np.repeat(np.arange(len(sizes)), sizes)[order]
+        self.post_row = rows[order]
         self.post_weight = weights[order]
         self.most = np.maximum.reduceat(self.post_weight, self.post_at[:-1]) if len(terms) else np.zeros(0)
         self.asked = np.zeros(len(self.terms))
@@ -64,12 +67,20 @@ class CellIndex:
         if not len(slot):
             return slot, weights
         # What the terms from each place on can add at most.
-        bound = np.minimum(np.cumsum((weights * self.most[slot])[::-1])[::-1], np.sqrt(np.cumsum((weights * weights)[::-1])[::-1]))
+        norm = np.sqrt(np.cumsum((weights * weights)[::-1])[::-1])
+        bound = np.minimum(np.cumsum((weights * self.most[slot])[::-1])[::-1], norm)
         needed = int(np.searchsorted(-bound, -(floor - SLACK), side="right")) if floor > 0 else len(slot)
         at, sizes = self._spans(self.post_at, slot[:needed])
         found = np.bincount(self.post_row[at], np.repeat(weights[:needed], sizes) * self.post_weight[at], minlength=len(self.ids))
-        rest = bound[needed] if needed < len(slot) else 0.0
-        rows = np.flatnonzero((found > 0) & (found + rest >= floor - SLACK))
+        rows = np.flatnonzero(found > 0)
+        if needed < len(slot) and len(rows):
+            # A row's own rest behind the last term looked up bounds it, too.
+            begin = np.searchsorted(self.place, rows * np.int64(len(self.terms)) + slot[needed - 1], side="right")
+            own = np.sqrt(np.maximum(0.0, self.square[self.row_at[rows + 1]] - self.square[begin]))
+            rest = np.minimum(bound[needed], norm[needed] * own)
+            rows = rows[found[rows] + rest >= floor - SLACK]
+        else:
+            rows = rows[found[rows] >= floor - SLACK]
         score = found[rows]
         if needed < len(slot) and len(rows):
             self.asked[slot[needed:]] = weights[needed:]
