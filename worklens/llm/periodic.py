@@ -164,8 +164,9 @@ def fragments(words: np.ndarray, marks: list[int], octave: int) -> Iterator[tupl
 _EXPLODED = "row long, doc_id string, n long, plain string, words string, octave int, start int, size int, marks binary, codes binary"
 
 
-def explode(docs: DataFrame) -> DataFrame:
-    """Rows of documents (octave null: row, doc_id, n, the digest of its words, and the words if it has tiles) and their tiles."""
+def explode(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """Rows of documents (octave null: row, doc_id, n, the digest of its words, and the words if it has tiles, or of all
+    documents if ``whole``) and their tiles."""
 
     # Ids go through pandas as text: a column of whole numbers with a null would become doubles.
     def chunk(ids: list, texts: list[tuple[int, bytes]]) -> pd.DataFrame:
@@ -188,7 +189,7 @@ def explode(docs: DataFrame) -> DataFrame:
                 tiled.add(d)
         for d, ((row, _), w) in enumerate(zip(texts, cut)):
             joined = b" ".join(w)
-            shown = joined.decode("utf-8", "surrogatepass") if d in tiled else None
+            shown = joined.decode("utf-8", "surrogatepass") if whole or d in tiled else None
             out.append((row, ids[d], len(w), sha256(joined).hexdigest(), shown, None, None, None, None, None))
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in _EXPLODED.split(", ")])
         return frame.astype({"n": "Int64", "octave": "Int32", "start": "Int32", "size": "Int32"})
@@ -247,16 +248,14 @@ def periodic_runs(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     first period. Null texts and texts without words have no runs and an empty text. Repeated rows are documents of their
     own; a null id stays null; other columns are ignored; an empty table gives no rows.
     """
-    out = _with_runs(docs, min_length)
+    out = _with_runs(docs, min_length, whole=True)
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch["text"] = [collapsed(w, r) for w, r in zip(batch["words"], batch["runs"])]
             yield batch.drop(columns="words")
 
-    whole = out.join(docs.select(F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("whole")), "row")
-    shown = whole.select("doc_id", "n_words", "runs", F.coalesce("words", "whole", F.lit("")).alias("words"))
-    out = shown.mapInPandas(finish, "doc_id string, n_words long, runs array<struct<start:long,length:long,period:long>>, text string")
+    out = out.select("doc_id", "n_words", "runs", "words").mapInPandas(finish, "doc_id string, n_words long, runs array<struct<start:long,length:long,period:long>>, text string")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -271,11 +270,11 @@ def collapsed(words: str, runs) -> str:
     return b" ".join(raw[i] for i in np.flatnonzero(~gone).tolist()).decode("utf-8", "surrogatepass")
 
 
-def _with_runs(docs: DataFrame, min_length: int) -> DataFrame:
-    """row, doc_id, n_words, runs, plain (digest of all words), words (joined, where the document has tiles)."""
+def _with_runs(docs: DataFrame, min_length: int, whole: bool = False) -> DataFrame:
+    """row, doc_id, n_words, runs, plain (digest of all words), words (joined, where the document has tiles or if ``whole``)."""
     if min_length < 2 * GRAM:
         raise ValueError(f"runs have at least {2 * GRAM} words")
-    exploded = settle(explode(docs), "tiles")
+    exploded = settle(explode(docs, whole), "tiles")
     runs = stitch(solve(exploded.where("octave IS NOT NULL")), min_length)
     runs = runs.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))
     runs = runs.withColumn("runs", F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["length"].alias("length"), r["period"].alias("period"))))

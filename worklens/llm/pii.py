@@ -61,7 +61,7 @@ _OTHERWISE = r"(?i)(\\b(order|invoice|ref|no|nr|number|id|isbn|issn|version|page
 _DATE = r"^((19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}|[0-9]{1,2}[-./ ][0-9]{1,2}[-./ ](19|20)[0-9]{2})"
 #: Loose forms of a rule's span, as SQL of its match; those that the generator wouldn't propose whole are left out.
 _LOOSE = {
-    "email": ["regexp_replace(regexp_replace(m, '@', ' (at) '), '[.](?=[^@]*$)', ' (dot) ')", "regexp_replace(m, '@', '(at)')", "regexp_replace(regexp_replace(m, '@', ' [at] '), '[.]', '[dot]')"],
+    "email": ["regexp_replace(regexp_replace(m, '[.](?=[^@]*$)', ' (dot) '), '@', ' (at) ')", "regexp_replace(m, '@', '(at)')", "regexp_replace(regexp_replace(m, '[.](?=[^@]*$)', '[dot]'), '@', ' [at] ')"],
     "ip": ["regexp_replace(m, '[.]', '-')", "regexp_replace(m, '[.]', ':')"],
     "card": ["regexp_replace(regexp_replace(m, '[^0-9]', ''), '([0-9]{4})(?=[0-9])', '$1.')"],
     "phone": ["substr(m, 2)", "concat('00', substr(m, 2))", "regexp_replace(substr(m, 2), '[ -]+', '.')"],
