@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.inputs import P, analysed_works, scored_works, tidy
 from catalog.oracles import ACTIVE_LIST, STEPS, oracle, quantile, r, tidy as sql_tidy
 from catalog.registry import query
+from worklens.functions.ranks import even_bucket, mean_rank, value_positions
 from worklens.operators import iforest
 from worklens.plans import evaluate, matrix
 from worklens.sources.staging import settle, stage_root
@@ -193,7 +193,8 @@ def stability_properties(spark, sf):
     wanted += [(("pairwise_stability", f"{a}_vs_{b}", usual), (a, usual), (b, usual)) for i, a in enumerate(_SEEDS) for b in _SEEDS[i + 1:]]
     wanted += [(("contamination_sensitivity", str(P.seed), c), (base, c), (base, usual)) for c in P.sensitivity]
     for s in _SEEDS:
-        scores = scores.withColumn(f"rank_{s}", F.percent_rank().over(Window.orderBy(f"score_{s}")))  # a catalog check on one machine
+        places = value_positions(scores.withColumn("everything", F.lit(1)), ["everything"], f"score_{s}", even_bucket(1.0 / 4096))
+        scores = scores.join(places.select(f"score_{s}", mean_rank().alias(f"rank_{s}")), f"score_{s}")
     aggregates = []
     for i, (_, a, b) in enumerate(wanted):
         either = F.count_if(flag[a] | flag[b])

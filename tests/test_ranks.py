@@ -88,3 +88,14 @@ def test_cohort_choice_and_lonely_cohort(spark):
     assert got[40]["baseline_group"] == "State: s9" and got[40]["percentile"] == 50.0 and got[40]["z_score"] == 0.0
     assert got[41]["z_score"] == 0.0 and got[41]["statistical_flag"] == 0
     assert got[20]["group_std"] == 0.0 and got[20]["z_score"] == 0.0
+
+
+def test_row_numbers_of_one_instant_and_of_none(spark):
+    """Most rows share a value or have none; every place is given once, in order."""
+    rows = [(1, 5)] * 300 + [(None, 7)] * 50 + [(i, i % 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(7)
+    got = sorted((r.place, r.a, r.b) for r in ranks.row_numbers(df, ["a", "b"], "place").collect())
+    assert [g[0] for g in got] == list(range(len(rows)))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert [g[1:] for g in got] == sorted(rows, key=key)
+    assert ranks.row_numbers(df.limit(0), ["a"], "place").count() == 0

@@ -12,6 +12,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from worklens.sources.staging import settle
+
 Bucket = Callable[[Column], Column]
 
 
@@ -74,6 +76,21 @@ def value_positions(df: DataFrame, keys: list[str], value: str, bucket: Bucket =
     )
 
 
+def row_numbers(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """The rows with their place in the order, from 0; rows that are equal in it get places of their own.
+
+    Rows are dealt by sampled ranges of the order and a row number, so rows of one instant, or without one, go to many tasks as well.
+    A task's rows are numbered on their own, and offsets come from the counts per task.
+    """
+    dealt = df.withColumn("_id", F.monotonically_increasing_id()).repartitionByRange(*order, "_id")
+    dealt = settle(dealt.withColumn("_part", F.spark_partition_id()), "dealt")
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row per task
+    offsets = counts.select("_part", (F.sum("_n").over(upto) - F.col("_n")).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order, "_id")) - 1
+    return dealt.withColumn("_place", place).join(offsets, "_part").withColumn(out, F.col("_start") + F.col("_place")).drop("_id", "_part", "_place", "_start")
+
+
 def mean_rank() -> Column:
     return F.col("below") + (F.col("same") + 1) / 2.0
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from worklens.functions.ranks import row_numbers
 from worklens.functions.scalars import rounded
 from worklens.plans.master import NOT_REVIEWED
 
@@ -53,20 +54,10 @@ def split_valid(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 def with_log_ids(entries: DataFrame, already: int, order: list[str]) -> DataFrame:
     """``AUDIT_000001``-style ids that go on after the ``already`` logged entries, in time order.
 
-    Positions come from counts per minute and an order inside each minute, not from one global window.
+    Places come from ranges of the order, so any number of entries may share a minute or an instant, or have no time.
     """
-    dated = entries.withColumn("_minute", F.date_trunc("minute", order[0]))
-    per_minute = dated.groupBy("_minute").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy(F.asc_nulls_first("_minute")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = per_minute.select(  # one row per minute of the log
-        F.col("_minute").alias("_m"), (F.sum("_n").over(upto) - F.col("_n")).alias("_before")
-    )
-    inside = Window.partitionBy("_minute").orderBy(*order)
-    placed = dated.withColumn("_k", F.row_number().over(inside)).join(
-        offsets, F.col("_minute").eqNullSafe(F.col("_m"))
-    )
-    number = F.lit(already) + F.col("_before") + F.col("_k")
-    return placed.withColumn("log_id", F.format_string("AUDIT_%06d", number)).drop("_minute", "_m", "_before", "_k")
+    placed = row_numbers(entries, order, "_k")
+    return placed.withColumn("log_id", F.format_string("AUDIT_%06d", F.lit(already + 1) + F.col("_k"))).drop("_k")
 
 
 def append_reviews(entries: DataFrame, log: str, rejected: str) -> None:
