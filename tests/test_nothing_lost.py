@@ -118,3 +118,9 @@ def test_a_corrected_review_is_logged(spark, tmp_path):
     key = lambda rows: sorted((str(r.log_id), r.review_status, r.reviewer_notes, r.review_timestamp.minute) for r in rows)
     assert key(spark.read.parquet(f"{tmp_path}/log").collect()) == sorted([("A", good, "n", 2), ("B", good, "n", 1), ("None", good, "n", 3), ("None", good, "n", 3)])
     assert key(spark.read.parquet(f"{tmp_path}/bad").collect()) == sorted([("A", bad, "n", 1), ("A", good, "later", 5), ("B", good, "other", 2), ("C", bad, "n", 1), ("None", bad, "n", 1)])
+
+
+def test_a_flat_feature_has_no_correlation(spark):
+    df = spark.createDataFrame([(1.0, 0.1, 2.0, 5.0), (2.0, 0.1, 4.0, 7.0), (3.0, 0.1, 6.0, None)], "a double, flat double, b double, c double")
+    assert [(r.feature_1, r.feature_2, round(r.r, 9)) for r in quality.correlated_pairs(df, ["a", "flat", "b", "c"]).orderBy("feature_1", "feature_2").collect()] == [
+        ("a", "b", 1.0), ("a", "c", 1.0), ("b", "c", 1.0)]

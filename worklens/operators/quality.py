@@ -139,7 +139,8 @@ def flat_features(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 def correlated_pairs(df: DataFrame, columns: Iterable[str], at_least: float = 0.85) -> DataFrame:
     """Feature pairs with |Pearson r| at or above the limit, from one distributed pass over the matrix.
 
-    A pair uses every row in which both its values are known: a null or NaN costs the row for that pair only.
+    A pair uses every row in which both its values are known: a null or NaN costs the row for that pair only. A pair with a
+    flat side has no correlation. Pairs are groups, not columns of one wide aggregate, which Spark would not compile.
     """
     columns = list(columns)
 
@@ -147,9 +148,15 @@ def correlated_pairs(df: DataFrame, columns: Iterable[str], at_least: float = 0.
         value = F.col(c).cast("double")
         return F.when(~F.isnan(value), value)
 
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    r = df.select(*[known(c).alias(c) for c in columns]).agg(*[F.corr(a, b) for a, b in pairs]).first()
-    rows = [(a, b, float(v)) for (a, b), v in zip(pairs, r or []) if v is not None and abs(v) >= at_least]
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "feature_1 string, feature_2 string, r double")
+    every = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
+    values = df.select(F.array(*[known(c) for c in columns]).alias("v"))
+    sides = values.select(F.inline(every), "v").select("i", "j", F.get("v", F.col("i")).alias("x"), F.get("v", F.col("j")).alias("y"))
+    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    found = sides.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("i", "j").agg(r.alias("r"))
+    rows = [(columns[t["i"]], columns[t["j"]], t["r"]) for t in found.collect() if t["r"] is not None and abs(t["r"]) >= at_least]  # a row per pair
     return df.sparkSession.createDataFrame(rows, "feature_1 string, feature_2 string, r double")
 
 
