@@ -124,3 +124,21 @@ def test_a_flat_feature_has_no_correlation(spark):
     df = spark.createDataFrame([(1.0, 0.1, 2.0, 5.0), (2.0, 0.1, 4.0, 7.0), (3.0, 0.1, 6.0, None)], "a double, flat double, b double, c double")
     assert [(r.feature_1, r.feature_2, round(r.r, 9)) for r in quality.correlated_pairs(df, ["a", "flat", "b", "c"]).orderBy("feature_1", "feature_2").collect()] == [
         ("a", "b", 1.0), ("a", "c", 1.0), ("b", "c", 1.0)]
+
+
+def test_review_state_is_native_and_the_earliest_valid_entry_is_logged(spark, tmp_path):
+    """No Python function runs per id; a batch's earliest valid entry of an id is logged, one without a time last."""
+    import datetime
+
+    def row(log_id, status, day, notes):
+        return (log_id, 5, status, notes, "r", day and datetime.datetime(2026, 1, day), 1.0, "LOW")
+
+    good = "Verified Normal"
+    for rows in ([row("A", good, None, "x"), row("A", good, 3, "y"), row("A", good, 2, "z"), row("A", "Maybe", 1, "w"), row("B", good, None, "x")], [row("A", good, 1, "late")]):
+        spark.createDataFrame(rows, audit.LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = jobs.file_stream(spark, f"{tmp_path}/in", audit.LOG_SCHEMA)
+        query = jobs.review_stream(stream, f"{tmp_path}/log", f"{tmp_path}/bad", f"{tmp_path}/cp")
+        query.awaitTermination()
+        assert [o["operatorName"] for o in query.recentProgress[0]["stateOperators"]] == ["dedupe"]
+    assert sorted((r.log_id, r.reviewer_notes) for r in spark.read.parquet(f"{tmp_path}/log").collect()) == [("A", "z"), ("B", "x")]
+    assert sorted(r.reviewer_notes for r in spark.read.parquet(f"{tmp_path}/bad").collect()) == ["late", "w", "x", "y"]

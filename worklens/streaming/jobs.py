@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StringType, StructField, StructType
 
 from worklens.params import Params
 from worklens.plans import audit
@@ -41,33 +38,8 @@ def screen_stream(proposals: DataFrame, past: History, out: str, checkpoint: str
     )
 
 
-#: What becomes of an entry.
-LOGGED, REJECTED = "logged", "rejected"
-_SEEN = "logged string, refused string"
-
-
-def _outcomes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """What becomes of the entries of one id. The state holds the digest of the logged entry and those of the refused."""
-    logged, refused = state.get if state.exists else (None, "")
-    known = set(refused.split(",")) - {""}
-    for frame in frames:
-        if len(frame) > 1:
-            frame = frame.sort_values(["review_timestamp", "entry_digest"], kind="stable")
-        outcome: list[str | None] = []
-        for digest, valid in zip(frame["entry_digest"], frame["entry_valid"]):
-            if digest == logged or digest in known:
-                outcome.append(None)  # delivered before
-            elif valid and logged is None:
-                logged = digest
-                outcome.append(LOGGED)
-            else:
-                known.add(digest)
-                outcome.append(REJECTED)
-        kept = [x is not None for x in outcome]
-        if any(kept):
-            frame["outcome"] = outcome
-            yield frame if all(kept) else frame[kept]
-    state.update((logged, ",".join(sorted(known))))
+#: Stands for "an entry of this id is valid" beside the digests of its entries.
+_FIRST = ""
 
 
 def review_stream(entries: DataFrame, log: str, rejected: str, checkpoint: str) -> StreamingQuery:
@@ -75,26 +47,39 @@ def review_stream(entries: DataFrame, log: str, rejected: str, checkpoint: str)
 
     The first valid entry of an id is logged. An entry delivered again is dropped. Invalid entries are rejected, and a valid one that
     corrects them later is logged; so is an entry that differs from the logged one of its id: it is rejected, not lost. Within a batch the
-    earliest by review_timestamp comes first. What was delivered before is kept as state per id, without a watermark, so a batch reads
-    neither the log nor the rejected entries. Entries without an id can't be told apart and all go to the log or the rejected.
+    earliest by review_timestamp comes first. What was delivered before is kept as state, without a watermark, so a batch reads
+    neither the log nor the rejected entries: a key for each different entry of an id, and one for an id that has a valid entry. What is left
+    of a batch is its new entries, and a mark for each id whose first valid ones are among them. Entries without an id can't be told
+    apart and all go to the log or the rejected.
     """
     spark = entries.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     digest = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in entries.columns])), 256)
-    marked = entries.withColumns({"entry_digest": digest, "entry_valid": audit.is_valid()})
-    named = marked.where(F.col("log_id").isNotNull()).withColumn("entry_key", F.col("log_id"))
-    schema = StructType([*named.schema.fields, StructField("outcome", StringType())])
-    judged = named.groupBy("entry_key").applyInPandasWithState(_outcomes, schema, _SEEN, "append", GroupStateTimeout.NoTimeout)
-    judged = judged.drop("entry_digest", "entry_valid", "entry_key")
-    nameless = entries.where(F.col("log_id").isNull()).withColumn("outcome", F.when(audit.is_valid(), LOGGED).otherwise(REJECTED))
+    keys = F.when(audit.is_valid(), F.array(digest, F.lit(_FIRST))).otherwise(F.array(digest))
+    whole = F.struct(*entries.columns)
+    named = entries.where(F.col("log_id").isNotNull()).select(F.col("log_id").alias("entry_id"), whole.alias("entry"), F.explode(keys).alias("entry_key"))
+    named = named.withColumn("entry", F.when(F.col("entry_key") != _FIRST, F.col("entry"))).dropDuplicates(["entry_id", "entry_key"])
+    no_key = F.lit(None).cast("string")
+    nameless = entries.where(F.col("log_id").isNull()).select(no_key.alias("entry_id"), whole.alias("entry"), no_key.alias("entry_key"))
 
     def each(batch: DataFrame, number: int) -> None:
         arrived = settle(batch, "reviews")
-        _into(audit.prepared(arrived.where(F.col("outcome") == LOGGED).drop("outcome")), number, log)
-        _into(arrived.where(F.col("outcome") == REJECTED).drop("outcome"), number, rejected)
-
-    whole = judged.unionByName(nameless)
-    return whole.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        new = arrived.where(F.col("entry").isNotNull()).select("entry_id", "entry_key", "entry.*")
+        valid = new.where(audit.is_valid())
+        opened = arrived.where(F.col("entry_key") == _FIRST).select("entry_id")
+        when = F.struct(F.col("review_timestamp").isNull(), "review_timestamp", "entry_key")
+        earliest = valid.join(opened, "entry_id", "left_semi").groupBy("entry_id").agg(F.min(when)["entry_key"].alias("entry_key"))
+        first = settle(earliest, "first-reviews")
+        without = valid.where(F.col("entry_id").isNull())
+        logged = valid.join(first, ["entry_id", "entry_key"], "left_semi").unionByName(without)
+        refused = new.where(F.col("entry_id").isNotNull()).join(first, ["entry_id", "entry_key"], "left_anti").unionByName(
+            new.where(F.col("entry_id").isNull() & ~audit.is_valid())
+        )
+        _into(audit.prepared(logged.drop("entry_id", "entry_key")), number, log)
+        _into(refused.drop("entry_id", "entry_key"), number, rejected)
+
+    marked = named.unionByName(nameless)
+    return marked.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def status_stream(entries: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
