@@ -99,3 +99,13 @@ def test_row_numbers_of_one_instant_and_of_none(spark):
     key = lambda r: (r[0] is not None, r[0] or 0, r[1])
     assert [g[1:] for g in got] == sorted(rows, key=key)
     assert ranks.row_numbers(df.limit(0), ["a"], "place").count() == 0
+
+
+def test_quantiles_move_only_rows_of_their_buckets(spark):
+    """The buckets that hold a quantile are few and of known size: no sort-merge join of all rows with them."""
+    from worklens.functions.ranks import group_quantiles
+
+    df = spark.range(2000).selectExpr("id % 3 AS g", "double(id) AS v")
+    out = group_quantiles(df, ["g"], "v", {"m": 0.5})
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.g: r.m for r in out.collect()} == {0: 999.0, 1: 1000.0, 2: 998.5}
