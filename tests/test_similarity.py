@@ -125,3 +125,15 @@ def test_stop_words_are_the_spark_list(spark):
 
     assert StopWordsRemover.loadDefaultStopWords("english") == ENGLISH
     assert vectors and similarity
+
+
+def test_terms_are_counted_inside_a_text(spark):
+    rows = [("a b road road drain road",), ("",), ("road",), ("hall hall hall hall",), (None,)]
+    texts = vectors.distinct_texts(spark.createDataFrame(rows, "t string"), "t")
+    counts = vectors.term_counts(texts.repartition(2, "text_key"))
+    plan = vectors.term_counts(spark.createDataFrame([(b"k", "x y", 1)], "text_key binary, cleaned string, copies long"))._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan  # a group of a task's terms is never held
+    named = counts.join(texts, ["text_key", "copies"]).select("cleaned", "term", "tf").collect()
+    want = {("road", "road"): 1, ("hall hall hall hall", "hall"): 4, ("hall hall hall hall", "hall hall"): 3}
+    want |= {("a b road road drain road", t): n for t, n in {"road": 3, "drain": 1, "road road": 1, "road drain": 1, "drain road": 1}.items()}
+    assert {(r.cleaned, r.term): r.tf for r in named} == want

@@ -47,12 +47,18 @@ def by_text(texts: DataFrame) -> DataFrame:
 
 
 def term_counts(texts: DataFrame, stop_words: Sequence[str] = ENGLISH) -> DataFrame:
-    """(text, term, tf, copies). Adds no shuffle to texts spread by ``by_text``."""
-    return (
-        texts.select("text_key", "copies", F.explode(terms_of(F.col("cleaned"), stop_words)).alias("term"))
-        .groupBy("text_key", "copies", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    """(text_key, copies, term, tf). A text's terms are counted inside its row, so a task holds one text at a time."""
+    ordered = texts.select("text_key", "copies", F.array_sort(terms_of(F.col("cleaned"), stop_words)).alias("_terms"))
+    # Places, from 1, of each term's last one in order: a term's count is the way from the place before.
+    size = F.size("_terms")
+    places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+    last = F.zip_with("_terms", F.slice("_terms", 2, size), lambda a, b: b.isNull() | (a != b))
+    marked = F.filter(F.zip_with(places, last, lambda i, end: F.struct(i.alias("i"), end.alias("end"))), lambda x: x["end"])
+    ends = ordered.withColumn("_ends", F.transform(marked, lambda x: x["i"]))
+    before = F.concat(F.array(F.lit(0)), F.slice("_ends", 1, F.size("_ends")))
+    spans = F.filter(F.zip_with("_ends", before, lambda e, b: F.struct(e.alias("e"), (e - b).cast("long").alias("tf"))), lambda x: x["e"].isNotNull())
+    counted = ends.select("text_key", "copies", "_terms", F.inline(spans))
+    return counted.select("text_key", "copies", F.element_at("_terms", F.col("e")).alias("term"), "tf")
 
 
 @dataclass(frozen=True)
