@@ -59,6 +59,25 @@ def test_nearest_and_counts_match_brute_force(works, cell, monkeypatch):
         assert got[i]["similar_project_count"] == sum(s >= 0.85 - 1e-12 for s in sims)
 
 
+def test_large_blocks_are_cut_beside_small_ones(works, monkeypatch):
+    """A block of more than a cell's vectors and smaller ones in one table: no vector loses its id or its block."""
+    rows, df = works
+    v, place = brute(rows), {r[0]: r[2] for r in rows}
+    corpus = text.build_corpus(df)
+    sizes = {r["block"]: r["count"] for r in corpus.members.groupBy("block").count().collect()}
+    cell = max(n for b, n in sizes.items() if b != "s___hot")
+    assert cell < sizes["s___hot"]
+    monkeypatch.setattr(similarity, "CELL", cell)
+    celled = similarity._celled(text.block_vectors(corpus).selectExpr("*", "monotonically_increasing_id() as id"), "block")
+    assert celled.where("id IS NULL").count() == 0 and celled.select("block", "cell").distinct().count() > len(sizes)
+    totals = {r["block"]: r["pairs"] for r in text.similar_pair_totals(corpus, text.similar_groups(corpus)).collect()}
+    got = {r["work_id"]: r["nearest_similarity_score"] for r in text.with_text(df).collect()}
+    sims = {(i, j): dot(v[i], v[j]) for i, j in itertools.permutations(v, 2) if place[i] == place[j]}
+    assert totals == dict(Counter(f"s___{place[i]}" for (i, j), s in sims.items() if i < j and s >= 0.85 - 1e-12))
+    for i in v:
+        assert got[i] == pytest.approx(max((s for (a, _), s in sims.items() if a == i), default=0.0), abs=1e-9)
+
+
 def test_pair_totals_match_brute_force(works):
     rows, df = works
     v, place = brute(rows), {r[0]: r[2] for r in rows}
