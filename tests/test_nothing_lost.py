@@ -142,3 +142,16 @@ def test_review_state_is_native_and_the_earliest_valid_entry_is_logged(spark, tm
         assert [o["operatorName"] for o in query.recentProgress[0]["stateOperators"]] == ["dedupe"]
     assert sorted((r.log_id, r.reviewer_notes) for r in spark.read.parquet(f"{tmp_path}/log").collect()) == [("A", "z"), ("B", "x")]
     assert sorted(r.reviewer_notes for r in spark.read.parquet(f"{tmp_path}/bad").collect()) == ["late", "w", "x", "y"]
+
+
+def test_scores_and_master_are_not_stored_again(spark, monkeypatch):
+    """Both follow from a work's own columns, so wide rows are stored once, as analysed works."""
+    from catalog import inputs
+
+    stored, rows = [], spark.createDataFrame([(1,), (2,)], "work_id long")
+    monkeypatch.setattr(inputs, "settle_once", lambda spark, key, make: stored.append(key[0]) or make())
+    monkeypatch.setattr(inputs, "analysed_works", lambda *_: rows)
+    monkeypatch.setattr(inputs.batch, "scored", lambda df, p: df)
+    monkeypatch.setattr(inputs, "master_table", lambda df, p: df)
+    assert inputs.master(spark, "anywhere").count() == inputs.scored_works(spark, "anywhere").count() == 2
+    assert stored == []
