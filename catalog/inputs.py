@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalog.views import view
 from worklens.functions.scalars import rounded
 from worklens.params import Params
-from worklens.plans import batch, clean
+from worklens.plans import batch, clean, matrix
 from worklens.plans.master import master_table
 from worklens.sources.staging import settle_once
 
@@ -68,15 +68,19 @@ def given_scores(df: DataFrame) -> DataFrame:
 
 
 def analysed_works(spark: SparkSession, sf: str) -> DataFrame:
-    """Works with features, benchmarks and given model scores, settled once per session."""
+    """Works with features, benchmarks and given model scores. What needs other rows is settled once per session, and so are the fills."""
 
     def make() -> DataFrame:
-        df, _ = batch.analysed(
-            settled_works(spark, sf), settled_payments(spark, sf), settled_sponsors(spark, sf), P
-        )
-        return given_scores(df)
+        return batch.unfilled(settled_works(spark, sf), settled_payments(spark, sf), settled_sponsors(spark, sf), P)
 
-    return settle_once(spark, ("analysed", sf), make)
+    df = settle_once(spark, ("unfilled", sf), make)
+
+    def fills() -> DataFrame:
+        rows = [F.struct(F.lit(name).alias("feature"), F.lit(fill).alias("fill")) for name, fill in matrix.fit_fills(df).items()]
+        return spark.range(1).select(F.inline(F.array(*rows)))
+
+    kept = settle_once(spark, ("fills", sf), fills)
+    return given_scores(batch.filled(df, {row["feature"]: row["fill"] for row in kept.collect()}))
 
 
 def scored_works(spark: SparkSession, sf: str) -> DataFrame:

@@ -104,6 +104,25 @@ def percentile_ranks(df: DataFrame, keys: list[str], value: str, out: str, min_s
     )
 
 
+def with_percentile_rank(df: DataFrame, key: str, value: str, count: str, out: str, min_size: int = 1, bucket: Bucket = MONEY) -> DataFrame:
+    """Rows that each stand for ``count`` equal ones, with their percentile rank (average ties) in the group of ``key``.
+
+    The rows travel once, to the bucket they are ranked in, and take their rank along, so no table of ranks is joined back.
+    Groups below ``min_size``, and rows without a key or value, get null.
+    """
+    at = F.col(value).cast("double")
+    rows = df.withColumn("_b", bucket(at))
+    known = F.col(key).isNotNull() & F.col("_b").isNotNull() & at.isNotNull()
+    offsets = _offsets(rows.where(known).groupBy(key, "_b").agg(F.sum(count).alias("_bn")), [key]).drop("_bn")
+    inside = Window.partitionBy(key, "_b").orderBy(at)
+    upto = F.sum(count).over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    same = F.sum(count).over(inside.rangeBetween(Window.currentRow, Window.currentRow))
+    placed = rows.withColumns({"_upto": upto, "same": same}).join(offsets, [key, "_b"], "left")
+    placed = placed.withColumn("below", F.col("_start") + F.col("_upto") - F.col("same"))
+    rank = F.when(known & (F.col("_total") >= min_size), mean_rank() / F.col("_total") * 100.0)
+    return placed.withColumn(out, rank).drop("_b", "_upto", "same", "below", "_start", "_total")
+
+
 def group_quantiles(df: DataFrame, keys: list[str], value: str | Column, points: Mapping[str, float], bucket: Bucket = MONEY) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 

@@ -16,15 +16,22 @@ BASELINE_COLUMNS = [
     "baseline_type", "group_mean", "group_std", "group_median", "group_p75", "group_p90", "group_p95", "group_p99",
     "z_score", "percentile", "statistical_flag", "z_flag", "p95_flag", "p99_flag",
 ]
+#: A work's percentile rank in its cohort.
+RANK = "_rank"
 POINTS = {"group_median": 0.5, "group_p75": 0.75, "group_p90": 0.90, "group_p95": 0.95, "group_p99": 0.99}
 
 
-def with_cohort(works: DataFrame, p: Params = Params()) -> DataFrame:
-    """Category if it has enough works, else constituency, else state. Sizes are rows, not amounts."""
+def cohort_sizes(works: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Works per category and per constituency, settled. Sizes are rows, not amounts."""
     per_category = by_group(works, "category", F.count(F.lit(1)).alias("_n_category"))
     per_constituency = by_group(works, "constituency", F.count(F.lit(1)).alias("_n_constituency"))
-    df = attach(works, per_category, ["category"], "category-size")
-    df = attach(df, per_constituency, ["constituency"], "constituency-size")
+    return settle(per_category, "category-size"), settle(per_constituency, "constituency-size")
+
+
+def with_cohort(works: DataFrame, p: Params = Params(), sizes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Category if it has enough works, else constituency, else state."""
+    per_category, per_constituency = sizes or cohort_sizes(works)
+    df = works.join(per_category, ["category"], "left").join(per_constituency, ["constituency"], "left")
     kind = (
         F.when(F.col("_n_category") >= p.min_group, "Category")
         .when(F.col("_n_constituency") >= p.min_group, "Constituency")
@@ -53,20 +60,32 @@ def cohort_benchmarks(grouped: DataFrame) -> DataFrame:
     return basic.join(group_quantiles(grouped, ["baseline_group"], amount, POINTS), "baseline_group", "left")
 
 
-def with_baseline(works: DataFrame, p: Params = Params()) -> DataFrame:
-    """Works (with ``effective_amount``) plus cohort, benchmarks, z-score, percentile and flags."""
-    df = with_cohort(works, p)
-    grouped = settle(df.select("baseline_group", "effective_amount"), "cohort-amounts")
-    ranks = percentile_ranks(grouped, ["baseline_group"], "effective_amount", "_rank")
+def with_baseline(
+    works: DataFrame, p: Params = Params(), source: DataFrame | None = None, sizes: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
+    """Works (with ``effective_amount``) plus cohort, benchmarks, z-score, percentile and flags.
+
+    Benchmarks are taken from ``source``, the plain works, so that no earlier join is repeated for them. Works that bring their
+    rank in the cohort along (``RANK``) aren't shuffled for it again.
+    """
+    source = works if source is None else source
+    sizes = sizes or cohort_sizes(source)
+    df = with_cohort(works, p, sizes)
+    grouped = settle(with_cohort(source, p, sizes).select("baseline_group", "effective_amount"), "cohort-amounts")
     df = attach(df, cohort_benchmarks(grouped), ["baseline_group"], "benchmarks")
-    df = attach(df, ranks, ["baseline_group", "effective_amount"], "cohort-ranks")
+    if RANK in works.columns:
+        ahead = ["baseline_group", "effective_amount"]  # where the other join puts them: rows are fingerprinted by column order
+        df = df.select(*ahead, *[c for c in df.columns if c not in ahead])
+    else:
+        ranks = percentile_ranks(grouped, ["baseline_group"], "effective_amount", RANK)
+        df = attach(df, ranks, ["baseline_group", "effective_amount"], "cohort-ranks")
     z = F.try_divide(F.col("effective_amount") - F.col("group_mean"), F.nullif(F.col("group_std"), F.lit(0.0)))
     df = df.withColumns(
         {
             "z_score": rounded(F.coalesce(z, F.lit(0.0)), 4),
-            "percentile": F.when(F.col("group_rows") <= 1, 50.0).otherwise(rounded(F.col("_rank"), 4)),
+            "percentile": F.when(F.col("group_rows") <= 1, 50.0).otherwise(rounded(F.col(RANK), 4)),
         }
-    ).drop("_rank", "group_rows")
+    ).drop(RANK, "group_rows")
     df = df.withColumns(
         {
             "z_flag": flag(F.col("z_score") > p.z_cut),

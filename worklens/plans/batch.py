@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from worklens.operators import iforest, quality
 from worklens.params import Params
-from worklens.plans import baselines, clean, master, matrix, risk
+from worklens.plans import baselines, clean, financial, master, matrix, risk
 from worklens.sources.staging import settle
 
 
@@ -23,12 +23,32 @@ def analysed(
     ``raw_amount`` keeps the amount as recorded; ``effective_amount`` becomes the model's filled input.
     """
     if featured is None:
-        featured = matrix.settled_features(works, payments, sponsors, p)
-    # Fills come from the features as they are stored, so that the wide rows needn't be stored again before they are filled in.
-    fill = matrix.fit_fills(featured)
-    df = baselines.with_baseline(featured, p).withColumn("raw_amount", F.col("effective_amount"))
-    filled = quality.impute(matrix.pre_imputation(df), fill)
-    return risk.with_sponsor_metrics(filled, sponsors), fill
+        df = settle(unfilled(works, payments, sponsors, p), "unfilled")
+        fill = matrix.fit_fills(df)
+    else:
+        fill = matrix.fit_fills(featured)
+        df = risk.with_sponsor_metrics(baselines.with_baseline(featured, p), sponsors)
+    return filled(df, fill), fill
+
+
+def unfilled(works: DataFrame, payments: DataFrame, sponsors: DataFrame, p: Params = Params()) -> DataFrame:
+    """Works with all features, cohort benchmarks and sponsor metrics, before model inputs are filled in.
+
+    Wide rows are shuffled twice: to their cost ranks, that in the cohort among them, and to their sponsor, for all it is asked for.
+    """
+    source = financial.with_effective_amount(works)
+    sizes = baselines.cohort_sizes(works)
+    featured = matrix.with_all_features(works, payments, sponsors, p, sizes)
+    return risk.with_sponsor_metrics(baselines.with_baseline(featured, p, source, sizes), sponsors)
+
+
+def filled(unfilled_works: DataFrame, fill: dict[str, float]) -> DataFrame:
+    """Model inputs filled in from the row alone, so that the wide rows needn't be stored again for it."""
+    df = unfilled_works.withColumn("raw_amount", F.col("effective_amount"))
+    df = quality.impute(matrix.pre_imputation(df), fill)
+    first, last = ["mp_name", "constituency"], risk.SPONSOR_METRICS
+    middle = [c for c in df.columns if c not in first and c not in last]
+    return df.select(*first, *middle, *last)
 
 
 def scored(analysed_works: DataFrame, p: Params = Params()) -> DataFrame:

@@ -11,8 +11,7 @@ from worklens.params import Params
 from worklens.plans.financial import with_financial
 from worklens.plans.temporal import with_temporal
 from worklens.plans.text import with_text
-from worklens.plans.vendor import vendor_features, with_vendor_cohort
-from worklens.sources.staging import settle
+from worklens.plans.vendor import cohort_inputs, with_vendor_cohort
 
 ID_COLUMNS = ["work_id", "project_status", "state", "constituency"]
 
@@ -82,12 +81,14 @@ def active_features() -> list[str]:
     return [name for name, used in FEATURES.items() if used]
 
 
-def with_all_features(works: DataFrame, payments: DataFrame, sponsors: DataFrame, p: Params = Params()) -> DataFrame:
+def with_all_features(
+    works: DataFrame, payments: DataFrame, sponsors: DataFrame, p: Params = Params(), sizes: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """Works with every feature family as added columns: no glue by row position, no row key needed."""
-    df = with_financial(works, sponsors, p)
+    df = with_financial(works, sponsors, p, sizes=sizes)
     df = with_temporal(df, payments, p, source=works)
     df = with_text(df, p, source=works)
-    return with_vendor_cohort(df, vendor_features(payments, p))
+    return with_vendor_cohort(df, cohort_inputs(payments))
 
 
 def pre_imputation(featured: DataFrame) -> DataFrame:
@@ -127,7 +128,3 @@ def model_features(dictionary: DataFrame) -> list[str]:
     """Names of the features the model uses, in matrix order, read from the dictionary."""
     rows = dictionary.where("used_for_model").orderBy("position").select("feature_name").collect()
     return [row[0] for row in rows]
-
-
-def settled_features(works: DataFrame, payments: DataFrame, sponsors: DataFrame, p: Params = Params()) -> DataFrame:
-    return settle(with_all_features(works, payments, sponsors, p), "features")

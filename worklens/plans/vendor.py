@@ -132,6 +132,28 @@ def vendor_features(payments: DataFrame, p: Params = Params()) -> DataFrame:
     return df.withColumn("transaction_frequency", frequency).select(*VENDOR_COLUMNS)
 
 
+def cohort_inputs(payments: DataFrame) -> DataFrame:
+    """Per vendor what ``vendor_cohorts`` reads, equal to those columns of ``vendor_features``.
+
+    Sums per (vendor, constituency) are the only exchange of many rows: totals and largest shares follow from them.
+    """
+    amount = F.col("expenditure_amount").cast("decimal(18,2)")
+    spent = F.sum(amount)
+    whole = payments.where(F.col("constituency").isNotNull()).groupBy("constituency").agg(spent.alias("_whole"))
+    parts = payments.where(F.col("vendor").isNotNull()).groupBy("vendor", "constituency").agg(
+        F.count("expenditure_amount").alias("n"), spent.alias("_part"), F.count_if(~_paid()).alias("pending"), F.count_if(_paid()).alias("success")
+    )
+    total = F.sum("_part").cast("double")
+    totals = attach(parts, whole, ["constituency"], "constituency-spend").groupBy("vendor").agg(
+        F.sum("n").alias("transaction_count"),
+        F.try_divide(total, F.sum("n").cast("double")).alias("average_vendor_transaction"),
+        F.sum("pending").alias("pending_count"),
+        F.sum("success").alias("success_count"),
+        F.max(ratio(F.col("_part"), F.col("_whole"))).alias("vendor_share_of_constituency_expenditure"),
+    )
+    return with_vendor_ratios(totals).join(first_seen(payments), "vendor", "left")
+
+
 COHORT_METRICS = [
     "constituency_max_vendor_share", "constituency_avg_vendor_transaction", "constituency_vendor_count",
     "constituency_avg_vendor_repeat_rate", "constituency_pending_payment_ratio",
