@@ -183,3 +183,24 @@ def test_line_families_settle_in_the_first_turn(spark):
     postings = line_dedup.shared_words(lines).withColumn("open", line_dedup.F.lit(True))
     assert line_dedup.candidates(postings, 1, line_dedup.CELL).count() < 400 * 10
     assert sum(r.n_removed for r in line_dedup.deduplicate_lines(docs).collect()) == 399
+
+
+def test_unlike_lines_send_few_rows(spark):
+    """Lines that share rare words, but no two side by side, mostly stay in their tasks; by single words each sends its eight."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(rng.sample(words, 36))) for i in range(1000)], "doc_id long, text string")
+    assert line_dedup.shared_words(line_dedup.line_sets(docs, line_dedup.rarity(docs))).count() < 4000
+
+
+def test_prefixes_of_similar_sets_share_a_couple():
+    rng = random.Random(13)
+    for _ in range(4000):
+        union = list(range(rng.randint(2, 80)))
+        differ = rng.sample(union, rng.randint(0, len(union) // 5))  # at most two tenths of the union
+        mine = set(differ[: rng.randint(0, len(differ))])
+        sets = [[w for w in union if w in mine or w not in differ], [w for w in union if w not in mine]]
+        if sets[0] != sets[1]:
+            sizes = line_dedup.n_prefix(line_dedup.np.array([len(s) for s in sets])).tolist()
+            couples = [set(zip(s[:n], s[1 : n + 1])) for s, n in zip(sets, sizes)]
+            assert couples[0] & couples[1], sets
