@@ -33,6 +33,15 @@ def test_year_change_needs_both_years(spark):
     assert {r["x"] for r in gone.collect()} == {None}
 
 
+def test_year_change_reads_rows_from_ctes_once(spark):
+    spark.createDataFrame([("a", 2000, 2.0), ("a", 2001, 3.0), ("b", 2001, 1.0)], "g string, y int, x double").createOrReplaceTempView("years_and_sums")
+    rows = spark.sql("WITH r AS (SELECT * FROM years_and_sums), s AS (SELECT g, y, x FROM r UNION ALL SELECT g, y, x FROM r WHERE x = 2) SELECT * FROM s")
+    change = temporal.year_change(rows, ["g"], "y", (2000, 2001), "c", F.col("x"))
+    assert {r["g"]: r["c"] for r in change.collect()} == {"a": -25.0, "b": None}
+    # With the rows' plan in the sums and in the subquery on them, vendor_year_change ended with an invalid plan as the first query of a session.
+    assert "CTE" not in change._jdf.queryExecution().analyzed().toString()
+
+
 LOG = [
     ("AUDIT_000001", 61773, "Needs Further Review", "check site", "O1", TS(2026, 9, 1, 17, 4), 80.18, "HIGH"),
     ("AUDIT_000002", 61773, "Needs Further Review", "check site", "O1", TS(2026, 9, 1, 17, 17), 80.18, "HIGH"),

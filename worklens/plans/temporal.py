@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from worklens.functions.scalars import flag, in_years
 from worklens.operators.cohorts import by_group
 from worklens.params import Params
-from worklens.sources.staging import attach
+from worklens.sources.staging import attach, settle
 
 TEMPORAL_COLUMNS = [
     "work_id", "project_status", "state", "constituency", "category", "recommendation_year", "recommendation_month",
@@ -25,7 +25,11 @@ def percent_change(earlier: Column, later: Column) -> Column:
 
 
 def year_change(df: DataFrame, keys: list[str], year: str, years: tuple[int, int], out: str, amount: Column | None = None) -> DataFrame:
-    """Per group, change from the first to the second year; null everywhere if either year is absent."""
+    """Per group, change from the first to the second year; null everywhere if either year is absent.
+
+    The sums are settled, so that the rows are read once for them and for the years seen: as a subquery, the rows' plan would stand
+    in the query twice, and Spark can't inline the CTEs that such a pair shares.
+    """
     base, later = years
     what = F.lit(1) if amount is None else amount.cast("decimal(18,2)")
     sums = (
@@ -39,6 +43,7 @@ def year_change(df: DataFrame, keys: list[str], year: str, years: tuple[int, int
             *[F.count_if(F.col(year) == y).alias(f"_rows_{y}") for y in years],
         )
     )
+    sums = settle(sums, "year-sums")
     seen = sums.agg((F.sum(f"_rows_{base}") > 0) & (F.sum(f"_rows_{later}") > 0))
     change = percent_change(F.col("_base"), F.col("_later"))
     return sums.select(*keys, F.when(seen.scalar(), change).alias(out))
