@@ -156,3 +156,54 @@ def test_terms_are_counted_inside_a_text(spark):
     want = {("road", "road"): 1, ("hall hall hall hall", "hall"): 4, ("hall hall hall hall", "hall hall"): 3}
     want |= {("a b road road drain road", t): n for t, n in {"road": 3, "drain": 1, "road road": 1, "road drain": 1, "drain road": 1}.items()}
     assert {(r.cleaned, r.term): r.tf for r in named} == want
+
+
+def test_terms_counted_and_weighed_inside_rows_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CHARACTERS", 400)
+    rnd = random.Random(5)
+    words = ["a", "the", "häuser", "日本", "x1", *(f"w{i}" for i in range(60))]
+    cleaned = [" ".join(rnd.choices(words, k=rnd.randint(0, 40))) for _ in range(200)] + ["", "the a"]
+    rows = [(str(i).encode(), t, rnd.choice([1, 1, 4])) for i, t in enumerate(cleaned)]
+    texts = spark.createDataFrame(rows, "text_key binary, cleaned string, copies long").repartition(3)
+
+    def terms(t):
+        kept = [w for w in t.split(" ") if len(w) >= 2 and w not in ENGLISH]
+        return Counter(kept + [f"{a} {b}" for a, b in zip(kept, kept[1:])])
+
+    df, cf = Counter(), Counter()
+    for _, t, copies in rows:
+        for term, n in terms(t).items():
+            df[term] += copies
+            cf[term] += n * copies
+    p = Params(vocabulary=300)
+    known = vectors.fit_vocabulary(texts, p)
+    got = known.terms.collect()
+    assert [(r["term"], r["df"], r["cf"]) for r in sorted(got, key=lambda r: (-r["cf"], r["term"].encode()))] == [
+        (t, df[t], cf[t]) for t in sorted((t for t in cf if df[t] >= 2), key=lambda t: (-cf[t], t.encode()))[:300]
+    ]
+    number = {r["term"]: r["t"] for r in got}
+    weighed = vectors.weigh(texts, known)
+    assert {bytes(r["text_key"]): {x["t"]: x["tf"] for x in r["terms"]} for r in weighed.collect()} == {
+        k: x for k, t, _ in rows if (x := {number[w]: n for w, n in terms(t).items() if w in number})
+    }
+    # No row for each term of a text, in Spark's plan.
+    assert "Generate" not in weighed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bounds_of_many_cells_match_brute_force_without_a_row_per_term_and_cell(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "CELLS", 2)
+    monkeypatch.setattr(similarity, "PROBES", 5)
+    rnd = random.Random(8)
+    weights = {i: {t: rnd.random() + 0.1 for t in rnd.sample(range(1, 30), rnd.randint(1, 6))} for i in range(40)}
+    norm = {i: math.sqrt(sum(x * x for x in w.values())) for i, w in weights.items()}
+    rows = [("b", i, i % 7, [(t, 1, x) for t, x in sorted(w.items())], norm[i]) for i, w in weights.items()]
+    base = spark.createDataFrame(rows, "block string, id long, cell long, terms array<struct<t: int, tf: int, raw: double>>, norm double")
+    routes = similarity._routes(base.drop("cell"), base, "block")
+    want = {}
+    for i, w in weights.items():
+        for cell in range(7):
+            most = {t: max(weights[j].get(t, 0.0) / norm[j] for j in weights if j % 7 == cell) for t in w}
+            if shared := [t for t in w if most[t]]:
+                want[i, cell] = min(sum(w[t] / norm[i] * most[t] for t in shared), math.sqrt(sum((w[t] / norm[i]) ** 2 for t in shared)))
+    assert {(r["id"], r["cell"]): r["bound"] for r in routes.collect()} == pytest.approx(want)
+    assert "HashAggregate(keys=[id" not in routes._jdf.queryExecution().executedPlan().toString()
