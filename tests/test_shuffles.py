@@ -104,3 +104,33 @@ def test_payment_lines_are_read_as_the_view_says(spark, tmp_path):
     want = spark.sql(views.with_ctes("SELECT * FROM payments_raw", views.VIEWS))
     got = views.view(spark, str(tmp_path), "payments_raw")
     assert got.columns == want.columns and plain(got) == plain(want) and got.count() > 20
+
+
+def test_vendor_concentration_settles_payments_without_an_exchange(spark, monkeypatch):
+    rows, plans = payments(spark), []
+    want = vendor.with_vendor_ratios(vendor.vendor_totals(rows))
+    for of, out in (("constituency", "max_constituency_share"), ("mp_name", "max_sponsor_share")):
+        want = want.join(vendor.largest_share(rows, of, out), "vendor", "left")
+    monkeypatch.setattr(vendor, "settle", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    got = vendor.vendor_concentration(rows)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+
+
+def test_payments_read_the_lines_once(spark, tmp_path):
+    def write(name, schema, *rows):
+        spark.createDataFrame(list(rows), schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    write("nation", "n_nationkey int, n_name string", (1, "N"))
+    write("customer", "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string", (1, "C", 1, 5.0, "M"))
+    write("orders", "o_orderkey long, o_custkey long", (1, 1), (2, 1))
+    write("part", "p_partkey long, p_name string, p_brand string", (1, "P", "B"), (1, "Q", None))
+    write("supplier", "s_suppkey long, s_name string", (1, "S"))
+    lines = [(1, 0.1, 10.0), (1, 0.0, 20.0), (2, None, 1234.5), (2, 0.1, None), (None, 0.1, 1.0)]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linestatus string, l_shipdate timestamp, l_discount double, l_extendedprice double"
+    write("lineitem", schema, *((key, 1, 1, "F", None, discount, price) for key, discount, price in lines))
+    got = views.view(spark, str(tmp_path), "payments_raw")
+    want = {"₹10.00 ": 4, "₹20.00 ": 2, "₹ 1,234.50": 2, None: 4}
+    assert {r["expenditure_amount"]: r["count"] for r in got.groupBy("expenditure_amount").count().collect()} == want
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()

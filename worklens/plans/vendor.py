@@ -185,9 +185,20 @@ def with_vendor_cohort(works: DataFrame, vendors: DataFrame) -> DataFrame:
     )
 
 
+def spend_rows(payments: DataFrame) -> DataFrame:
+    """The columns of ``spend_parts`` that totals and shares read, a row per payment."""
+    return payments.select(
+        "vendor", "constituency", "mp_name", F.col("expenditure_amount").cast("decimal(18,2)").alias("amount"),
+        F.col("expenditure_amount").isNotNull().cast("int").alias("n"), (~_paid()).cast("int").alias("pending"), _paid().cast("int").alias("success"),
+    )
+
+
 def vendor_concentration(payments: DataFrame, p: Params = Params()) -> DataFrame:
-    """Vendors with their totals, ratios and largest shares, from one scan of the payments."""
-    parts = settle(spend_parts(payments, p), "spend-parts")
+    """Vendors with their totals, ratios and largest shares, from one scan of the payments.
+
+    Few payments share vendor, constituency and sponsor, so they are settled as they are: sums of all three would be an exchange more.
+    """
+    parts = settle(spend_rows(payments), "spend-rows")
     df = with_vendor_ratios(totals_of(parts))
     df = df.join(largest_share(parts, "constituency", "max_constituency_share", "amount"), "vendor", "left")
     return df.join(largest_share(parts, "mp_name", "max_sponsor_share", "amount"), "vendor", "left")
